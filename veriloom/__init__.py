@@ -7,4 +7,11 @@ operators), ``plans`` (session settings, staging, query catalogue) and
 outside that subpackage imports it.
 """
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions for Python workers travel with their code, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -7,12 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriloom.llm import components, cutoffs, packing, similar
+from veriloom.llm import components, cutoffs, overlap, packing, similar
 from veriloom.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _p1_tables(spark: SparkSession, d: str) -> list[DataFrame]:
+    return [table(spark, d, t) for t in ("items", "set_membership", "descriptors_bits", "descriptors_vec", "methods")]
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.overlap_found(*_p1_tables(spark, d))
+
+
+def p1_report(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.overlap_report(*_p1_tables(spark, d))
+
+
 def p2_cutoffs(spark: SparkSession, d: str) -> DataFrame:
     records, targets = cutoffs.calibration_records(table(spark, d, "perquery_neg"), table(spark, d, "thresholds"))
     return cutoffs.share_cutoffs(records, targets, "method").withColumnRenamed("source", "method")
@@ -62,4 +74,4 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_found, p2_cutoffs, p3_found, p3_neighbours, p5_found, p5_splits, p6_found, p6_packed)}
+    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_cutoffs, p3_found, p3_neighbours, p5_found, p5_splits, p6_found, p6_packed)}

@@ -269,7 +269,7 @@ def similar_nodes(rows: DataFrame, spaces: list[Space], least: list[float], k: i
     return moved.groupBy("space", "region", "block").applyInArrow(_compare(spaces, least, k, with_sides), PAIRS)
 
 
-def most_similar(vectors: DataFrame, spaces: list[Space], k: int, least: list[float], probes: int = 12, key: str = "item_id", space: str = "method", vec: str = "vec", **index: int) -> DataFrame:
+def most_similar(vectors: DataFrame, spaces: list[Space], k: int, least: list[float], probes: int = 20, key: str = "item_id", space: str = "method", vec: str = "vec", **index: int) -> DataFrame:
     """The ``k`` most similar other keys of every key: (space, key, other, rank, sim).
 
     Repeats of a key count once; exact copies under other keys are the most

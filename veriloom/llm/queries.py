@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriloom.llm import components, cutoffs, overlap, packing, similar
+from veriloom.llm import components, cutoffs, leakage, overlap, packing, similar
 from veriloom.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,5 +73,18 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_packed(spark, d).where(F.col("piece_no") == 1).select("doc_id")
 
 
+def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_leaks(spark, d).select("doc_id", "item_id")
+
+
+def p7_items(spark: SparkSession, d: str) -> DataFrame:
+    """Which items leaked, and into how many documents."""
+    return p7_leaks(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.max("share").alias("max_share"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_cutoffs, p3_found, p3_neighbours, p5_found, p5_splits, p6_found, p6_packed)}
+    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_cutoffs, p3_found, p3_neighbours, p5_found, p5_splits, p6_found, p6_packed, p7_found, p7_leaks, p7_items)}

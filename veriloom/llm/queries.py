@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriloom.llm import components, cutoffs, leakage, overlap, packing, similar
+from veriloom.llm import components, cutoffs, langid, leakage, overlap, packing, similar
 from veriloom.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,5 +86,15 @@ def p7_items(spark: SparkSession, d: str) -> DataFrame:
     return p7_leaks(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.max("share").alias("max_share"))
 
 
+def p8_languages(spark: SparkSession, d: str) -> DataFrame:
+    """Every stretch of every document."""
+    return langid.languages(table(spark, d, "documents")).drop("label")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    found = langid.languages(table(spark, d, "documents"))
+    return langid.relabelled(found, langid.Settings().reject).select("doc_id", "seg_no", "text_lang")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_cutoffs, p3_found, p3_neighbours, p5_found, p5_splits, p6_found, p6_packed, p7_found, p7_leaks, p7_items)}
+    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_cutoffs, p3_found, p3_neighbours, p5_found, p5_splits, p6_found, p6_packed, p7_found, p7_leaks, p7_items, p8_found, p8_languages)}

@@ -22,9 +22,9 @@ def finite(c: Column) -> Column:
 
 def descending_statistic(rows: DataFrame, groups: list[str], score: str, ranks: DataFrame, rank: str) -> DataFrame:
     """``ranks`` with ``value``: the score at position ``rank`` (from 0) of its group in descending order, null beyond the end."""
-    freq = rows.groupBy(*groups, score).agg(F.count(F.lit(1)).alias("__n"))
-    cum = running_total(freq, groups, [F.col(score).desc()], "__n", "__upto").select(*groups, F.col(score).alias("__score"), "__n", "__upto")
-    hit = ranks.join(cum, groups).where((F.col("__upto") > F.col(rank)) & (F.col("__upto") - F.col("__n") <= F.col(rank)))
+    freq = rows.groupBy(*groups, score).agg(F.count(F.lit(1)).alias("__f"))
+    cum = running_total(freq, groups, [F.col(score).desc()], "__f", "__upto").select(*groups, F.col(score).alias("__score"), "__f", "__upto")
+    hit = ranks.join(cum, groups).where((F.col("__upto") > F.col(rank)) & (F.col("__upto") - F.col("__f") <= F.col(rank)))
     return ranks.join(hit.select(*groups, rank, F.col("__score").alias("value")).distinct(), [*groups, rank], "left")
 
 

@@ -42,7 +42,7 @@ def scores(q: np.ndarray, r: np.ndarray, metric: str, dim: int) -> np.ndarray:
     s = q @ r.T
     if metric == "l2":
         s = -np.sqrt(np.maximum((q * q).sum(1)[:, None] + (r * r).sum(1)[None, :] - 2.0 * s, 0.0))
-    return np.round(s, 9)
+    return np.round(s, 9) + 0.0  # no negative zero
 
 
 def _kernel(metric: str, dim: int, k: int | None, least: float | None) -> Callable[[pa.Table, pa.Table], pa.Table]:
@@ -87,7 +87,7 @@ def _blocks(queries: DataFrame, refs: DataFrame, metric: str, dim: int, k: int |
     n_blocks = max(1, math.ceil(refs.count() / BLOCK_ROWS))
     n_chunks = max(1, math.ceil(queries.count() / CHUNK_ROWS))
     q = queries.withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.lit(n_chunks))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    r = refs.withColumn("block", F.pmod(F.xxhash64("ref_id"), F.lit(n_blocks)).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))).cast("bigint"))
+    r = refs.withColumn("block", F.pmod(F.xxhash64("ref_id"), F.lit(n_blocks)).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_chunks - 1).cast("bigint"))))
     schema = f"query_id {dict(queries.dtypes)['query_id']}, ref_id {dict(refs.dtypes)['ref_id']}, score double"
     return q.groupBy("block", "chunk").cogroup(r.groupBy("block", "chunk")).applyInArrow(_kernel(metric, dim, k, least), schema)
 

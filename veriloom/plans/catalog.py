@@ -2,53 +2,31 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-from veriloom.operators import nested
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return nested.entries(table(spark, d, "raw_records")).select("record_id", "entity", "name", "ord", "sub_ord")
-
-
-def p4_methods(spark: SparkSession, d: str) -> DataFrame:
-    return nested.flat_tables(table(spark, d, "raw_records"))["methods"]
-
-
-def p4_attacks(spark: SparkSession, d: str) -> DataFrame:
-    return nested.flat_tables(table(spark, d, "raw_records"))["attacks"]
+from veriloom.plans import queries_calibration, queries_corpus, queries_nested, queries_payload, queries_retrieval
+from veriloom.plans.registry import ENTRIES, Query
 
-
-def p4_magnitudes(spark: SparkSession, d: str) -> DataFrame:
-    return nested.flat_tables(table(spark, d, "raw_records"))["magnitudes"]
-
-
-def p4_rows(spark: SparkSession, d: str) -> DataFrame:
-    return nested.flat_tables(table(spark, d, "raw_records"))["rows"]
-
-
-def p4_trials(spark: SparkSession, d: str) -> DataFrame:
-    return nested.flat_tables(table(spark, d, "raw_records"))["trials"]
-
-
-NESTED = (p4_found, p4_methods, p4_attacks, p4_magnitudes, p4_rows, p4_trials)
+MODULES = (queries_nested, queries_retrieval, queries_calibration, queries_corpus, queries_payload)  # importing them registers their queries
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return p4_found(spark, d)
+    """Recall by transformation and family of exact search over the descriptors."""
+    return queries_retrieval.recall_by_stratum(spark, d)
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in NESTED}
+    return {name: e.run for name, e in ENTRIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: e.sql for name, e in ENTRIES.items() if e.sql}
+
+
+def operators() -> dict[str, list[str]]:
+    """Operator id of the survey to the queries that cover it."""
+    out: dict[str, list[str]] = {}
+    for name, e in ENTRIES.items():
+        for op in e.operators.split():
+            out.setdefault(op, []).append(name)
+    return out

@@ -72,26 +72,22 @@ def pack(sized: DataFrame, capacity: int, key: str = "doc_id", size: str = "n_to
         raise ValueError("capacity must be at least 1")
     n = sized.count() if rows is None else rows
     groups = max(1, math.ceil(n / group_rows))
+    total = F.col("total")
+    last = F.floor((total - 1) / capacity).cast("int")  # containers filled by the text alone
     items = sized.where(F.col(size) > 0).select(F.col(key).alias("key"), F.col(size).cast("bigint").alias("total"))
-    full = F.floor((F.col("total") - 1) / capacity).cast("int")  # containers filled by the text alone
-    whole = items.where(F.col("total") > capacity).select("key", F.explode(F.sequence(F.lit(0), full - 1)).alias("piece_no"))
-    whole = whole.select("key", "piece_no", (F.col("piece_no").cast("bigint") * capacity).alias("start_token"), F.lit(capacity).cast("bigint").alias("n_tokens"), F.concat_ws("-", F.lit("w"), F.col("key").cast("string"), F.col("piece_no").cast("string")).alias("container"))
-    rest = items.select(
-        "key",
-        full.alias("piece_no"),
-        (full.cast("bigint") * capacity).alias("start_token"),
-        (F.col("total") - full.cast("bigint") * capacity).alias("n_tokens"),
-        F.pmod(F.xxhash64(F.col("key"), F.lit(20260926)), F.lit(groups)).cast("int").alias("grp"),
-    )
+    pieces = items.select("key", "total", F.explode(F.sequence(F.lit(0), last)).alias("piece_no"))
+    start = F.col("piece_no").cast("bigint") * capacity
+    # A full piece fills a bin of its own, so it can be packed in any group.
+    pieces = pieces.select("key", "piece_no", start.alias("start_token"), F.least(total - start, F.lit(capacity)).alias("n_tokens"), F.pmod(F.xxhash64("key", "piece_no", F.lit(20260926)), F.lit(groups)).cast("int").alias("grp"))
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("key", kind="stable")
+        pdf = pdf.sort_values(["key", "piece_no"], kind="stable")
         bins = first_fit_decreasing(pdf["n_tokens"].to_numpy(), capacity)
         name = [f"g-{g}-{b}" for g, b in zip(pdf["grp"].tolist(), bins.tolist(), strict=True)]
         return pdf.assign(container=name)[["key", "piece_no", "start_token", "n_tokens", "container"]]
 
     kind = dict(sized.dtypes)[key]
-    packed = rest.groupBy("grp").applyInPandas(fill, f"key {kind}, piece_no int, start_token bigint, n_tokens bigint, container string")
-    return whole.unionByName(packed).withColumnRenamed("key", key)
+    packed = pieces.groupBy("grp").applyInPandas(fill, f"key {kind}, piece_no int, start_token bigint, n_tokens bigint, container string")
+    return packed.withColumnRenamed("key", key)
 
 

@@ -62,3 +62,22 @@ def test_stream_of_windows(spark, tmp_path):
         n[1] += e == "error"
     last = max(want)
     assert {k: tuple(v) for k, v in want.items() if k != last} == {k: v for k, v in got.items() if k != last}
+
+
+def test_tar_of_json_lines(spark, tmp_path):
+    import io
+    import tarfile
+
+    with tarfile.open(tmp_path / "t.tar", "w") as tar:
+        for name, data in (("a.json", b'{"x": 1}\n{"x": 2}\n'), ("b.json.gz", gzip.compress(b'{"x": 3}\n')), ("c.txt", b"no")):
+            info = tarfile.TarInfo(name)
+            info.size = len(data)
+            tar.addfile(info, io.BytesIO(data))
+    got = manifest.read_tar_lines(spark, str(tmp_path / "t.tar")).collect()
+    assert sorted((r.member, r.line_no, json.loads(r.line)["x"]) for r in got) == [("a.json", 0, 1), ("a.json", 1, 2), ("b.json.gz", 0, 3)]
+
+
+def test_evidence_tables(spark, tmp_path):
+    p = spark.createDataFrame([("m", "s", True)], "method string, source_id string, hit boolean")
+    manifest.write_evidence(p, p, str(tmp_path))
+    assert spark.read.parquet(str(tmp_path / "neg")).count() == 1

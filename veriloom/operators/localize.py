@@ -99,3 +99,14 @@ def error_summary(rows: DataFrame, group: list[str], error: str) -> DataFrame:
     e = F.abs(F.col(error))
     inside = lambda c: F.avg(F.coalesce((e <= c).cast("int"), F.lit(0)))
     return rows.groupBy(*group).agg(F.median(e).alias("median_error"), inside(0.5).alias("within_half"), inside(1.0).alias("within_1"), inside(2.0).alias("within_2"), F.count(F.lit(1)).alias("n"))
+
+
+def token_difference(pairs: DataFrame, key: str, a: str, b: str, around: int = 2) -> DataFrame:
+    """(key, pos, differs, score): tokens of two texts that differ at a position, and the mean over ``around`` positions on either side.
+
+    The longer text decides how many positions there are; a missing token differs.
+    """
+    words = lambda c: F.filter(F.split(F.coalesce(F.lower(c), F.lit("")), r"\s+"), lambda x: x != "")
+    t = pairs.where(F.col(key).isNotNull()).select(key, F.posexplode(F.zip_with(words(a), words(b), lambda x, y: F.coalesce((x != y).cast("int"), F.lit(1)))).alias("pos", "differs"))
+    near = Window.partitionBy(key).orderBy("pos").rowsBetween(-around, around)
+    return t.withColumn("score", F.avg("differs").over(near))

@@ -133,3 +133,19 @@ def combined_score(configs: DataFrame, parts: dict[str, float], name: str = "com
 def usd_per_unit(ms_per_unit: Column, units: float, usd_per_hour: float, share: float = 1.0) -> Column:
     """Cost of ``units`` units at ``ms_per_unit`` milliseconds each on ``share`` of an instance."""
     return ms_per_unit * units / 3_600_000.0 * usd_per_hour * share
+
+
+def payload_bits(keys: DataFrame, index: str, nbits: int, salt: str = "payload") -> DataFrame:
+    """``keys`` with ``bits``, the payload that belongs to (salt, index); a null index has null bits."""
+    @F.pandas_udf("array<int>")
+    def bits(i: pd.Series) -> pd.Series:
+        return i.map(lambda x: stats.payload(nbits, int(x), salt).astype(int).tolist() if pd.notna(x) else None)
+
+    return keys.withColumn("bits", bits(F.col(index).cast("double")))
+
+
+def false_keys(decodes: DataFrame, registry: DataFrame, detected: Column, word: str = "decoded") -> DataFrame:
+    """(n, detected, registered): unmarked decodes, those detected, and those detected whose payload is a registered key (column ``word``)."""
+    known = registry.select(word).distinct().withColumn("__known", F.lit(True))
+    d = decodes.withColumn("__d", F.coalesce(detected, F.lit(False))).join(known, word, "left")
+    return d.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("__d").cast("bigint")).alias("detected"), F.sum((F.col("__d") & F.coalesce("__known", F.lit(False))).cast("bigint")).alias("registered"))

@@ -402,3 +402,52 @@ def stream_windows(spark: SparkSession, d: str) -> DataFrame:
     from veriloom.streaming import online
 
     return online.run_windows(spark, f"{d}/events.parquet")
+
+
+@query("LOC8 EDT3", r"""
+WITH p AS (SELECT edit_id, list_filter(regexp_split_to_array(lower(edit_key), '[|_]'), lambda x: x <> '') AS a, list_filter(regexp_split_to_array(lower(src), '[|_]'), lambda x: x <> '') AS b FROM (SELECT DISTINCT edit_id, edit_key, src FROM edits WHERE edit_id IS NOT NULL)),
+z AS (SELECT edit_id, coalesce(a, []) AS a, coalesce(b, []) AS b FROM p), x AS (SELECT edit_id, a, b, unnest(range(greatest(len(a), len(b)))) AS pos FROM z),
+t AS (SELECT edit_id, pos, coalesce((a[pos + 1] <> b[pos + 1])::INTEGER, 1) AS differs FROM x)
+SELECT edit_id, pos::INTEGER AS pos, differs, round(avg(differs) OVER (PARTITION BY edit_id ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) AS score FROM t""")
+def token_difference(spark: SparkSession, d: str) -> DataFrame:
+    """Parts of an edit's key that differ from those of its source's spelling."""
+    spaced = lambda c: F.regexp_replace(F.regexp_replace(c, r"\s", "~"), r"[|_]", " ")
+    e = table(spark, d, "edits").where(F.col("edit_id").isNotNull()).select("edit_id", "edit_key", "src").distinct()
+    t = localize.token_difference(e.select("edit_id", spaced("edit_key").alias("a"), spaced("src").alias("b")), "edit_id", "a", "b")
+    return t.withColumn("score", F.round("score", 6))
+
+
+@query("SRT4", """
+SELECT source, row_number() OVER (ORDER BY CASE WHEN source LIKE 'open%' THEN 0 WHEN source LIKE 'coll1%' THEN 1 ELSE 2 END, source)::INTEGER AS place FROM (SELECT DISTINCT source FROM items WHERE source IS NOT NULL)""")
+def preferred_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Sources in order of a preferred prefix, then by name."""
+    from veriloom.plans.prefix import running_total
+
+    s = table(spark, d, "items").where(F.col("source").isNotNull()).select("source").distinct().withColumn("one", F.lit(1))
+    rank = F.when(F.col("source").startswith("open"), 0).when(F.col("source").startswith("coll1"), 1).otherwise(2)
+    s = s.withColumn("pref", rank)
+    return running_total(s, [], [F.col("pref"), F.col("source")], "one", "place").select("source", F.col("place").cast("int").alias("place"))
+
+
+@query("FPR2 FPR4 FPR20 LAT1 LAT2 LAT4 UDF1")
+def extraction_latency(spark: SparkSession, d: str) -> DataFrame:
+    """Descriptors of the embeddings taken as grey pictures by a registered extractor, with their CPU time."""
+    from veriloom.operators import features
+
+    grey = F.transform("embedding", lambda x: F.least(F.greatest(F.round((x + 0.5) * 255), F.lit(0.0)), F.lit(255.0)).cast("int"))
+    hexed = F.array_join(F.transform(grey, lambda x: F.lpad(F.hex(x), 2, "0")), "")
+    items = table(spark, d, "embeddings").select("vec_id", F.unhex(hexed).alias("content"))
+    t = features.timed_extract(items, "blockhash", "vec_id", "content")
+    return t.select("vec_id", F.size("vec").alias("bits"), "cpu_ms")
+
+
+@query("ATK5 ATK6 ATK9 ATK11", """
+SELECT modality, family, n FROM (VALUES ('image', 'none', 1), ('image', 'compression', 4), ('image', 'scale', 3), ('image', 'crop', 5), ('image', 'geometric', 7), ('image', 'photometric', 9), ('image', 'overlay', 5), ('image', 'chain', 2),
+  ('audio', 'none', 1), ('audio', 'codec', 4), ('audio', 'noise', 4), ('audio', 'filter', 4), ('audio', 'time-pitch', 4), ('audio', 'excerpt', 2), ('audio', 'chain', 2),
+  ('video', 'none', 1), ('video', 'codec', 3), ('video', 'scale', 2), ('video', 'crop', 2), ('video', 'geometric', 4), ('video', 'photometric', 5), ('video', 'overlay', 3), ('video', 'temporal', 4), ('video', 'chain', 1)) AS t(modality, family, n)""")
+def attack_ladders(spark: SparkSession, d: str) -> DataFrame:
+    """Entries of the transformation ladders by family."""
+    from veriloom.operators import transforms
+
+    rows = [("image", n, f) for n, (f, _) in transforms.IMAGE_LADDER.items()] + [(m, n, f) for m, t in (("audio", transforms.AUDIO_LADDER), ("video", transforms.VIDEO_LADDER)) for n, f in t.items()]
+    return spark.createDataFrame(rows, "modality string, attack string, family string").groupBy("modality", "family").agg(F.count(F.lit(1)).cast("int").alias("n"))

@@ -230,3 +230,20 @@ SELECT config, metric, quality, key_fpr, quality = max(quality) OVER (PARTITION
 def config_table(spark: SparkSession, d: str) -> DataFrame:
     first = F.row_number().over(Window.partitionBy("family").orderBy(F.col("key_fpr").asc_nulls_last(), "config")) == 1
     return _configs(spark, d).select("config", "metric", "quality", "key_fpr", (F.col("quality") == F.max("quality").over(Window.partitionBy("metric"))).alias("best"), first.alias("family_row"))
+
+
+@query("PAY1 UDF1")
+def payload_bits(spark: SparkSession, d: str) -> DataFrame:
+    """Seeded payloads of all documents."""
+    return payload.payload_bits(table(spark, d, "documents").select("doc_id"), "doc_id", 32).select("doc_id", F.array_join(F.transform("bits", lambda x: x.cast("string")), "").alias("bits"))
+
+
+@query("PAY16 AGG21", f"""
+WITH b AS (SELECT doc_id, {sql_word("'blind16'", 'doc_id')} & 65535 AS decoded, {sql_word("'detect'", 'doc_id')} % 10 < 3 AS det FROM documents),
+r AS (SELECT DISTINCT {sql_word("'key16'", 'doc_id')} & 65535 AS decoded FROM documents)
+SELECT count(*) AS n, sum(det::INTEGER)::BIGINT AS detected, sum((det AND r.decoded IS NOT NULL)::INTEGER)::BIGINT AS registered FROM b LEFT JOIN r USING (decoded)""")
+def false_keys(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("k"))
+    low = F.lit(65535)
+    b = docs.select(md5_word(F.lit("blind16"), F.col("k")).bitwiseAND(low).alias("decoded"), (F.pmod(md5_word(F.lit("detect"), F.col("k")), F.lit(10)) < 3).alias("det"))
+    return payload.false_keys(b, docs.select(md5_word(F.lit("key16"), F.col("k")).bitwiseAND(low).alias("decoded")), F.col("det"))

@@ -75,3 +75,36 @@ def stale(stored: DataFrame, fresh: DataFrame) -> bool:
         return True
     a, b = stored.select(*cols), fresh.select(*cols)
     return not a.exceptAll(b).isEmpty() or not b.exceptAll(a).isEmpty()
+
+
+def read_tar_lines(spark: SparkSession, path: str, suffix: str = ".json") -> DataFrame:
+    """(archive, member, line_no, line) of the text lines of the members of tar archives, plain or gzip, whose names end in ``suffix``.
+
+    One archive is read by one task, line by line.
+    """
+    def run(frames):  # noqa: ANN001, ANN202
+        import gzip
+        import io
+        import tarfile
+
+        import pandas as pd
+
+        for pdf in frames:
+            for name, content in zip(pdf["path"], pdf["content"], strict=True):
+                with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as tar:
+                    for m in tar:
+                        if not m.isfile() or not m.name.removesuffix(".gz").endswith(suffix):
+                            continue
+                        f = tar.extractfile(m)
+                        f = gzip.open(f) if m.name.endswith(".gz") else f
+                        lines = [x.decode("utf-8", "replace").rstrip("\r\n") for x in f]
+                        yield pd.DataFrame({"archive": name, "member": m.name, "line_no": range(len(lines)), "line": lines})
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInPandas(run, "archive string, member string, line_no int, line string")
+
+
+def write_evidence(positives: DataFrame, negatives: DataFrame, path: str) -> None:
+    """Per-query evidence as two Parquet tables, pos and neg, partitioned by method."""
+    for name, df in (("pos", positives), ("neg", negatives)):
+        df.write.mode("overwrite").partitionBy("method").parquet(f"{path}/{name}")

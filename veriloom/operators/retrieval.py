@@ -12,6 +12,7 @@ import math
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -82,10 +83,16 @@ def _kernel(metric: str, dim: int, k: int | None, least: float | None) -> Callab
     return run
 
 
-def _blocks(queries: DataFrame, refs: DataFrame, metric: str, dim: int, k: int | None, least: float | None) -> DataFrame:
+def _size(rows: DataFrame, key: str) -> tuple[int, int]:
+    """Rows, and rows of the most frequent key; only keys are read and shuffled."""
+    r = rows.groupBy(key).count().agg(F.sum("count").alias("n"), F.max("count").alias("most")).first()
+    return r["n"] or 0, r["most"] or 1
+
+
+def _blocks(queries: DataFrame, refs: DataFrame, metric: str, dim: int, k: int | None, least: float | None, n_queries: int | None = None, n_refs: int | None = None) -> DataFrame:
     """``queries`` (query_id, query) against ``refs`` (ref_id, ref), both not null and of equal lengths."""
-    n_blocks = max(1, math.ceil(refs.count() / BLOCK_ROWS))
-    n_chunks = max(1, math.ceil(queries.count() / CHUNK_ROWS))
+    n_blocks = max(1, math.ceil((refs.count() if n_refs is None else n_refs) / BLOCK_ROWS))
+    n_chunks = max(1, math.ceil((queries.count() if n_queries is None else n_queries) / CHUNK_ROWS))
     q = queries.withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.lit(n_chunks))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
     r = refs.withColumn("block", F.pmod(F.xxhash64("ref_id"), F.lit(n_blocks)).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_chunks - 1).cast("bigint"))))
     schema = f"query_id {dict(queries.dtypes)['query_id']}, ref_id {dict(refs.dtypes)['ref_id']}, score double"
@@ -102,9 +109,8 @@ def top_k(queries: DataFrame, refs: DataFrame, k: int, metric: str, dim: int) ->
     queries = queries.where(F.col("query_id").isNotNull() & F.col("query").isNotNull())
     refs = refs.where(F.col("ref_id").isNotNull() & F.col("ref").isNotNull())
     # Variants share the places of their reference: more rows than k are kept where they exist.
-    most = refs.groupBy("ref_id").count().agg(F.max("count")).first()[0] or 1
-    many = queries.groupBy("query_id").count().agg(F.max("count")).first()[0] or 1
-    found = _blocks(queries, refs, metric, dim, k * most, None)
+    (n_refs, most), (n_queries, many) = _size(refs, "ref_id"), _size(queries, "query_id")
+    found = _blocks(queries, refs, metric, dim, k * most, None, n_queries, n_refs)
     if most > 1 or many > 1:
         found = found.groupBy("query_id", "ref_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "ref_id")
@@ -135,10 +141,31 @@ def negative_l2(a: Column, b: Column) -> Column:
     return -F.sqrt(F.greatest(F.lit(0.0), F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)))
 
 
+def rowwise(f: Callable[..., np.ndarray], *columns: Column) -> Column:
+    """``f`` of vectors of equal lengths as a matrix, and of any further columns, in Arrow batches; a null vector gives null.
+
+    Array functions of SQL would evaluate what a lambda takes from outside once
+    for each element.
+    """
+    @F.pandas_udf("array<double>")
+    def run(v: pd.Series, *rest: pd.Series) -> pd.Series:
+        out = pd.Series([None] * len(v), dtype=object)
+        ok = v.notna().to_numpy()
+        if ok.any():
+            m = f(np.stack([np.asarray(x, dtype=np.float64) for x in v[ok]]), *[r[ok].to_numpy() for r in rest])
+            out[ok] = pd.Series(list(m), index=out.index[ok], dtype=object)
+        return out
+
+    return run(*columns)
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+
 def normalised(v: Column) -> Column:
-    """A vector over its length, which counts as 1e-12 at least."""
-    length = F.greatest(F.sqrt(dot(v, v)), F.lit(1e-12))
-    return F.transform(v, lambda x: x.cast("double") / length)
+    """A vector over its length, which counts as 1e-12 at least; all vectors of a column need the same length."""
+    return rowwise(unit, v)
 
 
 def true_scores(queries: DataFrame, refs: DataFrame, truth: DataFrame) -> DataFrame:

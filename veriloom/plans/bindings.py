@@ -7,6 +7,7 @@ negative queries those of negative sources.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,18 +31,13 @@ def usable_vectors(spark: SparkSession, d: str, method: str, dim: int, nonzero:
     return t.select("set_name", "item_id", "vec").distinct().select("set_name", "item_id", F.col("vec").cast("array<double>").alias("v"))
 
 
-def transformed(v: Column, attack: Column) -> Column:
-    half = 3 * VECTOR_DIM // 4
-    cut = F.transform(v, lambda x, i: F.when(i < half, x).otherwise(0.0))
-    rounded = lambda a: F.transform(a, lambda x: F.round(x, 1))
-    return (
-        F.when(attack == "trunc", cut)
-        .when(attack == "quant", rounded(v))
-        .when(attack == "noise", F.transform(v, lambda x, i: x + 0.05 * F.sin(i.cast("double") * 7.0)))
-        .when(attack == "flip", F.reverse(v))
-        .when(attack == "chain", rounded(cut))
-        .otherwise(v)
-    )
+def transformed(v: np.ndarray, attack: np.ndarray) -> np.ndarray:
+    """Unit vectors under the transformation of each row, of unit length again."""
+    out = v.copy()
+    cut = np.where(np.arange(v.shape[1]) < 3 * v.shape[1] // 4, v, 0.0)
+    for name, new in (("trunc", cut), ("quant", np.round(v, 1)), ("noise", v + 0.05 * np.sin(np.arange(v.shape[1]) * 7.0)), ("flip", v[:, ::-1]), ("chain", np.round(cut, 1))):
+        out[attack == name] = new[attack == name]
+    return retrieval.unit(out)
 
 
 def references(spark: SparkSession, d: str) -> DataFrame:
@@ -55,7 +51,7 @@ def vector_queries(spark: SparkSession, d: str) -> DataFrame:
     v = usable_vectors(spark, d, VECTOR_METHOD, VECTOR_DIM).where(F.col("set_name").isin("reg", "neg"))
     v = v.select(F.col("item_id").alias("source_id"), (F.col("set_name") == "reg").alias("positive"), retrieval.normalised(F.col("v")).alias("v"))
     kinds = F.explode(F.array(*[F.struct(F.lit(a).alias("attack"), F.lit(f).alias("family")) for a, f in ATTACKS]))
-    q = v.withColumn("k", kinds).select("source_id", "positive", "k.attack", "k.family", retrieval.normalised(transformed(F.col("v"), F.col("k.attack"))).alias("query"))
+    q = v.withColumn("k", kinds).select("source_id", "positive", "k.attack", "k.family", retrieval.rowwise(transformed, F.col("v"), F.col("k.attack")).alias("query"))
     return q.withColumn("query_id", F.concat_ws("|", "source_id", "attack"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from veriloom.operators import calibrate, evaluate, retrieval
 from veriloom.plans.bindings import SEARCH_SQL, VECTOR_DIM, references, searched, table, usable_vectors, vector_queries
 from veriloom.plans.registry import query
+from veriloom.plans.session import stage
 
 W = "WITH " + SEARCH_SQL
 
@@ -59,12 +60,13 @@ def true_pair_score(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _top1(spark: SparkSession, d: str) -> DataFrame:
-    """(query_id, source_id, positive, attack, family, top1, hit, hit10): one row for each query."""
+    """(query_id, source_id, positive, attack, family, top1, hit, hit10): one row for each query, written once."""
     s = searched(spark, d)
     right = (F.col("ref_id") == F.col("source_id")) & F.col("positive")
-    return s.groupBy("query_id", "source_id", "positive", "attack", "family").agg(
+    one = s.groupBy("query_id", "source_id", "positive", "attack", "family").agg(
         F.max("score").alias("top1"), F.max(((F.col("rank") == 1) & right).cast("int")).cast("boolean").alias("hit"), F.max(right.cast("int")).cast("boolean").alias("hit10"), F.max(F.when(F.col("rank") == 1, F.col("ref_id"))).alias("ref_id")
     )
+    return stage(one, "top1")
 
 
 TOP1_SQL = ",\none AS (SELECT query_id, source_id, positive, attack, family, max(score) AS top1, bool_or(rank = 1 AND ref_id = source_id AND positive) AS hit, bool_or(ref_id = source_id AND positive) AS hit10, max(CASE WHEN rank = 1 THEN ref_id END) AS ref_id FROM topk GROUP BY ALL)"
@@ -108,10 +110,9 @@ thr AS (SELECT target, kk.n, kk.k, CASE WHEN kk.k >= 5 AND kk.k < kk.n THEN top1
 """
 
 
-def _negatives(spark: SparkSession, d: str) -> DataFrame:
-    neg = _top1(spark, d).where(~F.col("positive"))
-    sources = vector_queries(spark, d).where(~F.col("positive")).select("source_id")
-    return neg.join(calibrate.keep_alternate(sources), "source_id")
+def _negatives(one: DataFrame) -> DataFrame:
+    neg = one.where(~F.col("positive"))
+    return neg.join(calibrate.keep_alternate(neg), "source_id")
 
 
 def _thresholds(negatives: DataFrame) -> DataFrame:
@@ -121,7 +122,7 @@ def _thresholds(negatives: DataFrame) -> DataFrame:
 
 @query("CAL1 SPL1 FLT1", W + CAL_SQL + "SELECT target, n, k, round(threshold, 6) AS threshold, resolved FROM thr")
 def query_threshold(spark: SparkSession, d: str) -> DataFrame:
-    return _thresholds(_negatives(spark, d)).select("target", "n", "k", F.round("threshold", 6).alias("threshold"), "resolved")
+    return _thresholds(_negatives(_top1(spark, d))).select("target", "n", "k", F.round("threshold", 6).alias("threshold"), "resolved")
 
 
 @query("AGG3", W + CAL_SQL + """
@@ -130,9 +131,10 @@ p AS (SELECT attack, avg((hit AND top1 >= threshold)::INTEGER) AS tpr, count(*)
 f AS (SELECT attack, sum((top1 >= threshold)::INTEGER) / greatest(1, count(*)) AS fpr, count(*) AS n_neg FROM neg, t WHERE NOT calibration GROUP BY attack)
 SELECT p.attack, round(tpr, 6) AS tpr, n_pos, round(coalesce(fpr, 0), 6) AS fpr, coalesce(n_neg, 0) AS n_neg FROM p LEFT JOIN f USING (attack)""")
 def tpr_fpr_by_attack(spark: SparkSession, d: str) -> DataFrame:
-    neg = _negatives(spark, d)
+    one = _top1(spark, d)
+    neg = _negatives(one)
     t = _thresholds(neg).where(F.col("target") == TARGETS[0]).select("threshold")  # one row
-    pos = _top1(spark, d).where("positive").crossJoin(t)
+    pos = one.where("positive").crossJoin(t)
     p = pos.groupBy("attack").agg(evaluate.share(F.col("hit") & (F.col("top1") >= F.col("threshold"))).alias("tpr"), F.count(F.lit(1)).alias("n_pos"))
     test = neg.where(~F.col("calibration")).crossJoin(t)
     f = test.groupBy("attack").agg(evaluate.over_max1(F.sum((F.col("top1") >= F.col("threshold")).cast("int")), F.count(F.lit(1))).alias("fpr"), F.count(F.lit(1)).alias("n_neg"))
@@ -163,11 +165,11 @@ SELECT attack, sum((a.product = b.product AND one.ref_id <> one.source_id AND to
 FROM one JOIN thr ON target = 0.05 LEFT JOIN src2 a ON a.item_id = one.source_id LEFT JOIN src2 b ON b.item_id = one.ref_id GROUP BY attack""")
 def hard_negative_rate(spark: SparkSession, d: str) -> DataFrame:
     """Queries bound to another item of their own source above the threshold."""
-    neg = _negatives(spark, d)
-    t = _thresholds(neg).where(F.col("target") == TARGETS[0]).select("threshold")  # one row
+    top = _top1(spark, d)
+    t = _thresholds(_negatives(top)).where(F.col("target") == TARGETS[0]).select("threshold")  # one row
     product = table(spark, d, "items").groupBy("item_id").agg(F.max("source").alias("product"))
     own, theirs = product.select(F.col("item_id").alias("source_id"), F.col("product").alias("p1")), product.select(F.col("item_id").alias("ref_id"), F.col("product").alias("p2"))
-    one = _top1(spark, d).crossJoin(t).join(own, "source_id", "left").join(theirs, "ref_id", "left")
+    one = top.crossJoin(t).join(own, "source_id", "left").join(theirs, "ref_id", "left")
     bound = (F.col("p1") == F.col("p2")) & (F.col("ref_id") != F.col("source_id")) & (F.col("top1") >= F.col("threshold"))
     return one.groupBy("attack").agg(F.sum(bound.cast("bigint")).alias("bound"), F.count(F.lit(1)).alias("n"))
 
@@ -205,8 +207,6 @@ a AS (SELECT DISTINCT item_id FROM pairs), t AS (SELECT DISTINCT item_id FROM (S
 m AS (SELECT DISTINCT set_name, item_id FROM set_membership WHERE set_name IN ('dist', 'hard'))
 SELECT set_name, count(*) AS n_items, count(*) - count(a.item_id) AS kept_any, count(*) - count(t.item_id) AS kept_two, count(*) AS kept_none FROM m LEFT JOIN a ON a.item_id = m.item_id LEFT JOIN t ON t.item_id = m.item_id GROUP BY set_name""")
 def dedup_sensitivity(spark: SparkSession, d: str) -> DataFrame:
-    from veriloom.plans.session import stage
-
     e = stage(_evidence(spark, d), "evidence")
     m = table(spark, d, "set_membership").where(F.col("set_name").isin("dist", "hard")).select("set_name", "item_id").distinct()
     out = m.groupBy("set_name").agg(F.count(F.lit(1)).alias("n_items"))

@@ -73,7 +73,7 @@ def code_pairs(codes: DataFrame, key: str, words: str, side: str, bits: int, rad
     return q.join(r, ["band", "bits"]).where(apart <= radius).select("q", "r").distinct()
 
 
-def vector_pairs(vectors: DataFrame, key: str, vec: str, side: str, dim: int, least: float, probes: int = 64, **index: int) -> DataFrame:
+def vector_pairs(vectors: DataFrame, key: str, vec: str, side: str, dim: int, least: float, probes: int = 40, **index: int) -> DataFrame:
     """(q, r): pairs of an evaluation key and a training key with a cosine of at least ``least``, by the inverted multi-index.
 
     Approximate, see ``similar``. Vectors that are not usable (null, wrong

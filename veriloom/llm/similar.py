@@ -5,10 +5,13 @@ its own, and the pair of centroids names the cell in which the vector is
 filed. A query walks through the pairs of centroids in the order of their
 summed distances with a heap, and its entries are compared on all components.
 
+The first half has many more centroids than the second: a walk then stays with
+few first centroids, which decide where a vector has to be sent, and finds more
+neighbours in as many cells.
+
 Codebooks are trained on the driver on a sample of bounded size; everything
-else covers all rows. Rows move once: a vector goes to the region of its first
-centroid, and to the regions of the other first centroids that its walk
-visits. Vectors travel as 16-bit components with a scale of their own, a
+else covers all rows. Rows move once: a vector goes to the region, a group of
+first centroids, of its own, and to those that its walk visits. Vectors travel as 16-bit components with a scale of their own, a
 relative error of 1.5e-5 at most. Exact copies are one node: they are merged
 within each input partition before the shuffle and again in the region, so a
 vector that a third of the rows share is filed about once for each partition.
@@ -28,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Most centroids of either half, and how many times as many the first half has as the square root of the cells.
+MOST_FIRST, MOST_SECOND, SKEW = 4096, 1024, 8
 MOVED = "space int, region int, block int, home boolean, node bigint, sides int, cell int, probes binary, scale float, code binary"
 PAIRS = "space int, a bigint, b bigint, a_sides int, b_sides int, sim double"
 
@@ -40,7 +45,7 @@ class Space:
     metric: str  # ip or l2
     dim: int
     books: tuple[np.ndarray, np.ndarray] | None = None
-    blocks: np.ndarray | None = None  # blocks of each region
+    blocks: np.ndarray | None = None  # blocks of each region, the first centroids modulo their number
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 20260926) -> np.ndarray:
@@ -99,18 +104,22 @@ def usable(vectors: DataFrame, spaces: list[Space], space: str, vec: str, metric
 def train(rows: DataFrame, spaces: list[Space], key: str, vec: str, occupancy: int, sample_rows: int, block_rows: int) -> None:
     """Fit the codebooks of ``spaces`` on at most about ``sample_rows`` rows of each space, chosen by the hash of their key."""
     counts = {r["__space"]: r["n"] for r in rows.groupBy("__space").agg(F.count(F.lit(1)).alias("n")).collect()}
-    ks = {i: int(min(1024, max(2, math.sqrt(n / occupancy)))) for i, n in counts.items()}
+    ks = {}
+    for i, n in counts.items():
+        cells = max(4.0, n / occupancy)
+        k1 = int(min(MOST_FIRST, max(2, SKEW * math.sqrt(cells))))
+        ks[i] = k1, int(min(MOST_SECOND, max(2, cells / k1))), int(max(1, k1 / SKEW))
     share = F.lit(0)
     for i, k in ks.items():
-        share = F.when(F.col("__space") == i, int(min(1.0, min(sample_rows, 64 * k) / counts[i]) * (1 << 20))).otherwise(share)
+        share = F.when(F.col("__space") == i, int(min(1.0, min(sample_rows, 32 * k[0]) / counts[i]) * (1 << 20))).otherwise(share)
     taken = rows.where(F.pmod(F.xxhash64(F.col(key), F.lit(11)), F.lit(1 << 20)) < share).select("__space", vec).toArrow()
     for i, s in enumerate(spaces):
-        n, k = counts.get(i, 0), ks.get(i, 2)
+        n, (k1, k2, regions) = counts.get(i, 0), ks.get(i, (2, 2, 1))
         mine = taken.filter(pa.compute.equal(taken["__space"], i)).column(vec).combine_chunks() if n else None
         x = _normal(_matrix(mine), s.metric) if mine is not None and len(mine) else np.ones((1, s.dim), dtype=np.float32)
         half = s.dim // 2
-        s.books = (kmeans(x[:, :half], k), kmeans(x[:, half:], k, seed=20260923))
-        per_region = np.bincount(half_distances(x[:, :half], s.books[0]).argmin(1), minlength=k)
+        s.books = (kmeans(x[:, :half], k1), kmeans(x[:, half:], k2, seed=20260923))
+        per_region = np.bincount(half_distances(x[:, :half], s.books[0]).argmin(1) % regions, minlength=regions)
         s.blocks = np.maximum(1, np.ceil(per_region * (n / len(x)) / block_rows)).astype(np.int32)
 
 
@@ -133,25 +142,28 @@ def _assign(spaces: list[Space], probes: int) -> Callable[[Iterator[pa.RecordBat
         buf = code.tobytes()
         where, region, block, home, probe = [], [], [], [], []
         c1, c2 = sorted_c
+        regions, width = len(s.blocks), len(s.books[1])
+        blocks = s.blocks.tolist()
         for r in range(len(x)):
             visits: dict[int, list[int]] = {}
             one, two = c1[r].tolist(), c2[r].tolist()
             for i, j in walk(sorted_d[0][r], sorted_d[1][r], probes):
-                visits.setdefault(one[i], []).append(two[j])
-            own = int(node[r]) % int(s.blocks[one[0]])
+                visits.setdefault(one[i] % regions, []).append(one[i] * width + two[j])
+            at_home = one[0] % regions
+            own = int(node[r]) % blocks[at_home]
             for g, cells in visits.items():
-                seen = np.array(cells, dtype=np.int16).tobytes()
-                for b in range(int(s.blocks[g])):
+                seen = np.array(cells, dtype=np.int32).tobytes()
+                for b in range(blocks[g]):
                     where.append(r)
                     region.append(g)
                     block.append(b)
-                    home.append(g == one[0] and b == own)
+                    home.append(g == at_home and b == own)
                     probe.append(seen)
         at = np.array(where, dtype=np.int64)
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(np.full(len(at), number, dtype=np.int32)), pa.array(region, pa.int32()), pa.array(block, pa.int32()), pa.array(home, pa.bool_()),
-                pa.array(node[at]), pa.array(sides[at]), pa.array(c2[at, 0].astype(np.int32)), pa.array(probe, pa.binary()), pa.array(scale[at]),
+                pa.array(node[at]), pa.array(sides[at]), pa.array((c1[at, 0] * width + c2[at, 0]).astype(np.int32)), pa.array(probe, pa.binary()), pa.array(scale[at]),
                 pa.array([buf[r * size : (r + 1) * size] for r in where], pa.binary()),
             ],
             names=[f.split()[0] for f in MOVED.split(", ")],
@@ -213,8 +225,8 @@ def _compare(spaces: list[Space], least: list[float], k: int | None, both_sides:
         sq = (x * x).sum(1)
         cell = table.column("cell").to_numpy()
         probes = table.column("probes").to_pylist()
-        count = np.array([len(p) // 2 for p in probes])
-        asked = np.frombuffer(b"".join(probes), dtype=np.int16)
+        count = np.array([len(p) // 4 for p in probes])
+        asked = np.frombuffer(b"".join(probes), dtype=np.int32)
         asker = np.repeat(np.arange(len(node)), count)
         order = np.argsort(asked, kind="stable")
         asked, asker = asked[order], asker[order]
@@ -269,7 +281,7 @@ def similar_nodes(rows: DataFrame, spaces: list[Space], least: list[float], k: i
     return moved.groupBy("space", "region", "block").applyInArrow(_compare(spaces, least, k, with_sides), PAIRS)
 
 
-def most_similar(vectors: DataFrame, spaces: list[Space], k: int, least: list[float], probes: int = 20, key: str = "item_id", space: str = "method", vec: str = "vec", **index: int) -> DataFrame:
+def most_similar(vectors: DataFrame, spaces: list[Space], k: int, least: list[float], probes: int = 16, key: str = "item_id", space: str = "method", vec: str = "vec", **index: int) -> DataFrame:
     """The ``k`` most similar other keys of every key: (space, key, other, rank, sim).
 
     Repeats of a key count once; exact copies under other keys are the most

@@ -38,14 +38,19 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 #: Similarity that a pair of p3_found needs under each metric: a cosine, or a negated distance.
 P3_LEAST = {"ip": 0.90, "l2": -1.5}
 
+#: Index of p3_neighbours: the five nearest of every vector lie farther off than p3_found's pairs, so larger cells and longer walks.
+P3_INDEX = {"probes": 128, "occupancy": 128}
+
 
 def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The five most similar others of every usable vector, however far."""
     spaces = similar.vector_spaces(table(spark, d, "methods"))
-    return similar.most_similar(table(spark, d, "descriptors_vec"), spaces, 5, [P3_LEAST[s.metric] for s in spaces])
+    return similar.most_similar(table(spark, d, "descriptors_vec"), spaces, 5, [float("-inf")] * len(spaces), **P3_INDEX)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    near = p3_neighbours(spark, d)
+    spaces = similar.vector_spaces(table(spark, d, "methods"))
+    near = similar.most_similar(table(spark, d, "descriptors_vec"), spaces, 5, [P3_LEAST[s.metric] for s in spaces])
     return near.select("method", F.least("item_id", "other").alias("item_a"), F.greatest("item_id", "other").alias("item_b")).distinct()
 
 

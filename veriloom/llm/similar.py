@@ -210,6 +210,17 @@ def _top(s: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero(s >= least)
 
 
+def _best(a: np.ndarray, b: np.ndarray, v: np.ndarray, node: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` largest values of each ``a`` among the distinct pairs; with ties, those of the smallest nodes."""
+    _, one = np.unique(a.astype(np.int64) * len(node) + b, return_index=True)
+    a, b, v = a[one], b[one], v[one]
+    order = np.lexsort((node[b], -v, a))
+    a, b, v = a[order], b[order], v[order]
+    starts = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
+    rank = np.arange(len(a)) - np.repeat(starts, np.diff(np.append(starts, len(a))))
+    return a[rank < k], b[rank < k], v[rank < k]
+
+
 def _compare(spaces: list[Space], least: list[float], k: int | None, both_sides: bool) -> Callable[[pa.Table], pa.Table]:
     names = [f.split()[0] for f in PAIRS.split(", ")]
 
@@ -260,6 +271,8 @@ def _compare(spaces: list[Space], least: list[float], k: int | None, both_sides:
                         if ok.any():
                             out.append((a[ok], b[ok], v[ok]))
         a, b, v = (np.concatenate(z) for z in zip(*out, strict=True)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        if k is not None and len(a):
+            a, b, v = _best(a, b, v, node, k)
         return pa.Table.from_arrays([pa.array(np.full(len(a), number, dtype=np.int32)), pa.array(node[a]), pa.array(node[b]), pa.array(sides[a].astype(np.int32)), pa.array(sides[b].astype(np.int32)), pa.array(v.astype(np.float64))], names)
 
     return run

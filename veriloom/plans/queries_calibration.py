@@ -131,18 +131,21 @@ chosen(method) AS (VALUES ('PDQ'), ('pHash-64'), ('dHash-64'), ('aHash-64')),
 pr AS (SELECT a.method AS m1, b.method AS m2, a.source_id, a.ok AS ok1, b.ok AS ok2, a.top1 AS s1, b.top1 AS s2 FROM o a JOIN o b ON a.source_id = b.source_id AND a.attack = b.attack AND a.method < b.method WHERE a.method IN (FROM chosen) AND b.method IN (FROM chosen)),
 bc AS (SELECT m1, m2, sum((ok1 > ok2)::INTEGER)::BIGINT AS b, sum((ok2 > ok1)::INTEGER)::BIGINT AS c FROM pr GROUP BY ALL)
 """
+#: The methods that the SQL above pairs; the queries with ``_all`` and paired_tests pair all methods.
 CHOSEN = ("PDQ", "pHash-64", "dHash-64", "aHash-64")
 
 
-def _outcomes(spark: SparkSession, d: str) -> DataFrame:
+def _outcomes(spark: SparkSession, d: str, methods: tuple[str, ...] | None) -> DataFrame:
     r = negative_records(spark, d)
     med = r.groupBy("method").agg(F.median("top1").alias("m"))
-    r = r.join(med, "method").where(F.col("source_id").isNotNull() & F.col("attack").isNotNull() & F.col("method").isin(*CHOSEN))
+    r = r.join(med, "method").where(F.col("source_id").isNotNull() & F.col("attack").isNotNull())
+    if methods:
+        r = r.where(F.col("method").isin(*methods))
     return r.groupBy("method", "source_id", "attack").agg(F.max((F.col("top1") >= F.col("m")).cast("int")).alias("ok"), F.avg("top1").alias("top1"))
 
 
-def _paired(spark: SparkSession, d: str) -> DataFrame:
-    o = _outcomes(spark, d)
+def _paired(spark: SparkSession, d: str, methods: tuple[str, ...] | None = None) -> DataFrame:
+    o = _outcomes(spark, d, methods)
     a = o.select(F.col("method").alias("m1"), "source_id", "attack", F.col("ok").alias("ok1"), F.col("top1").alias("s1"))
     b = o.select(F.col("method").alias("m2"), "source_id", "attack", F.col("ok").alias("ok2"), F.col("top1").alias("s2"))
     return a.join(b, ["source_id", "attack"]).where(F.col("m1") < F.col("m2"))
@@ -154,11 +157,21 @@ p AS (SELECT m1, m2, b, c, CASE WHEN b + c = 0 THEN 1 ELSE least(1, 2 * sum(exp(
 h AS (SELECT *, row_number() OVER (ORDER BY p, m1, m2) AS rn, count(*) OVER () AS m FROM p)
 SELECT m1, m2, b, c, round(p, 6) AS p, round(max(least(1, (m - rn + 1) * p)) OVER (ORDER BY p, m1, m2 ROWS UNBOUNDED PRECEDING), 6) AS holm FROM h""")
 def mcnemar_holm(spark: SparkSession, d: str) -> DataFrame:
+    return _mcnemar(_paired(spark, d, CHOSEN))
+
+
+@query("INF5 INF6 RPT4")
+def mcnemar_holm_all(spark: SparkSession, d: str) -> DataFrame:
+    """As mcnemar_holm, over all pairs of methods as one family."""
+    return _mcnemar(_paired(spark, d))
+
+
+def _mcnemar(pairs: DataFrame) -> DataFrame:
     @F.pandas_udf("double")
     def exact(b: pd.Series, c: pd.Series) -> pd.Series:
         return pd.Series([stats.mcnemar(int(x), int(y)) for x, y in zip(b, c, strict=True)], dtype="float64")
 
-    bc = _paired(spark, d).groupBy("m1", "m2").agg(F.sum((F.col("ok1") > F.col("ok2")).cast("bigint")).alias("b"), F.sum((F.col("ok2") > F.col("ok1")).cast("bigint")).alias("c"))
+    bc = pairs.groupBy("m1", "m2").agg(F.sum((F.col("ok1") > F.col("ok2")).cast("bigint")).alias("b"), F.sum((F.col("ok2") > F.col("ok1")).cast("bigint")).alias("c"))
     t = bc.withColumn("p", exact("b", "c"))
     order = Window.partitionBy(F.lit(0)).orderBy("p", "m1", "m2")  # one row for each pair of methods
     t = t.withColumn("rn", F.row_number().over(order)).withColumn("m", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))
@@ -171,7 +184,17 @@ dd AS (SELECT m1, m2, source_id, round(avg(s1) - avg(s2), 9) AS d FROM pr GROUP
 r AS (SELECT *, rank() OVER (PARTITION BY m1, m2 ORDER BY abs(d)) + (count(*) OVER (PARTITION BY m1, m2, abs(d)) - 1) / 2.0 AS rk FROM dd WHERE d <> 0)
 SELECT m1, m2, count(*) AS n, round(least(coalesce(sum(rk) FILTER (WHERE d > 0), 0), coalesce(sum(rk) FILTER (WHERE d < 0), 0)), 6)::DOUBLE AS w FROM r GROUP BY ALL""")
 def wilcoxon_statistic(spark: SparkSession, d: str) -> DataFrame:
-    dd = _paired(spark, d).groupBy("m1", "m2", "source_id").agg(F.round(F.avg("s1") - F.avg("s2"), 9).alias("d")).where(F.col("d") != 0)
+    return _wilcoxon(_paired(spark, d, CHOSEN))
+
+
+@query("INF7 JOI20")
+def wilcoxon_statistic_all(spark: SparkSession, d: str) -> DataFrame:
+    """As wilcoxon_statistic, over all pairs of methods."""
+    return _wilcoxon(_paired(spark, d))
+
+
+def _wilcoxon(pairs: DataFrame) -> DataFrame:
+    dd = pairs.groupBy("m1", "m2", "source_id").agg(F.round(F.avg("s1") - F.avg("s2"), 9).alias("d")).where(F.col("d") != 0)
     size = F.abs(F.col("d"))
     r = dd.withColumn("a", size).withColumn("rk", F.rank().over(Window.partitionBy("m1", "m2").orderBy("a")) + (F.count(F.lit(1)).over(Window.partitionBy("m1", "m2", "a")) - 1) / 2.0)
     plus, minus = F.coalesce(F.sum(F.when(F.col("d") > 0, F.col("rk"))), F.lit(0.0)), F.coalesce(F.sum(F.when(F.col("d") < 0, F.col("rk"))), F.lit(0.0))

@@ -160,11 +160,16 @@ def weighted_order_statistic(scores: np.ndarray, weights: np.ndarray, share: flo
     exceeds floor(share * total) is the one.
     """
     order = np.argsort(-scores, kind="stable")
-    upto = np.cumsum(weights[order])
+    return ranked_order_statistic(scores[order], weights[order], share, least, step)
+
+
+def ranked_order_statistic(scores: np.ndarray, weights: np.ndarray, share: float, least: int = 5, step: float = 1e-6) -> float:
+    """``weighted_order_statistic`` of scores that are in descending order already."""
+    upto = np.cumsum(weights)
     k = math.floor(share * upto[-1]) if len(upto) else 0
     if k < least or not len(upto) or k >= upto[-1]:
         return math.nan
-    return float(scores[order][np.searchsorted(upto, k, side="right")]) + step
+    return float(scores[np.searchsorted(upto, k, side="right")]) + step
 
 
 def auc(scores: np.ndarray, truth: np.ndarray) -> float | None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -131,3 +133,78 @@ def cluster_bootstrap(rows: DataFrame, group: str, source: str, positive: str, h
         return pd.DataFrame([[key[0], *q[0], *q[1], *q[2], bad / draws]], columns=[c.split()[0].strip("`") for c in schema.split(", ")])
 
     return rows.select(F.col(group).cast("string").alias(group), source, positive, hit, score).groupBy(group).applyInPandas(run, schema)
+
+
+def shared_thresholds(negatives: DataFrame, group: str, source: str, score: str, target: float, draws: int = 2000) -> DataFrame:
+    """(group, full, drawn): each group's threshold on all calibration negatives, and on those of each draw of sources.
+
+    The first, third, ... source in sorted order are the calibration half. A draw
+    takes the same sources in every group, as all tasks draw from one generator
+    over the sources of all groups. NaN where a threshold is not resolved.
+    """
+    sources = negatives.where(F.col(source).isNotNull()).select(source).distinct().withColumn("__one", F.lit(1))
+    sources = running_total(sources, [], [F.col(source)], "__one", "__rn").where(F.col("__rn") % 2 == 1).select(source, F.floor(F.col("__rn") / 2).alias("__at"))
+    n = sources.count()
+    counts = negatives.join(sources, source).groupBy(group, "__at", score).agg(F.count(F.lit(1)).alias("__n"))
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        pdf = pdf.sort_values([score, "__at"], ascending=[False, True])
+        s, at, times = pdf[score].to_numpy(float), pdf["__at"].to_numpy(), pdf["__n"].to_numpy(float)
+        rng, drawn = stats.rng_for("paired", "calibration"), []
+        for _ in range(draws):
+            w = np.bincount(rng.integers(0, n, n), minlength=n)
+            drawn.append(stats.ranked_order_statistic(s, w[at] * times, target))
+        return pd.DataFrame({group: [key[0]], "full": [stats.ranked_order_statistic(s, times, target)], "drawn": [drawn]})
+
+    return counts.groupBy(group).applyInPandas(run, f"`{group}` string, full double, drawn array<double>")
+
+
+def paired_difference(positives: DataFrame, negatives: DataFrame, group: str, source: str, on: str, score: str, target: float, draws: int = 2000, flips: int = 20_000) -> DataFrame:
+    """(m1, m2, n_queries, diff, diff_lo, diff_hi, unresolved, p): difference in TPR of each pair of groups, sources being resampled.
+
+    ``positives`` has one row for each group, source and ``on``; a row succeeds if
+    its score, null for a wrong result, reaches the group's threshold. Both groups
+    of a pair share the drawn positive and calibration sources, and the thresholds
+    are computed again in each draw. ``p`` is the sign-flip p of the differences
+    per source at the full thresholds; diff is null where one is not resolved.
+    """
+    found = shared_thresholds(negatives, group, source, score, target, draws).collect()  # one row for each group
+    full = {r[group]: math.nan if r["full"] is None else r["full"] for r in found}
+    drawn = {r[group]: r["drawn"] for r in found}
+    side = lambda m, s: positives.select(F.col(group).alias(m), source, on, F.col(score).cast("double").alias(s))
+    pairs = side("m1", "s1").join(side("m2", "s2"), [source, on]).where(F.col("m1") < F.col("m2"))
+    names = ["m1", "m2", "n_queries", "diff", "diff_lo", "diff_hi", "unresolved", "p"]
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        pdf = pdf.sort_values([source, on])
+        ids, at = np.unique(pdf[source].to_numpy(str), return_inverse=True)
+        x, y = pdf["s1"].to_numpy(float), pdf["s2"].to_numpy(float)
+        nan = [math.nan] * draws
+        t, u = (np.array(drawn.get(m, nan), dtype=float) for m in key)
+        n, per = len(ids), np.bincount(at).astype(float)
+        rng, diffs, step = stats.rng_for("paired", *key), [], max(1, 1_000_000 // len(x))
+        for lo in range(0, draws, step):
+            m = min(step, draws - lo)
+            w = np.bincount((rng.integers(0, n, (m, n)) + np.arange(m)[:, None] * n).ravel(), minlength=m * n).reshape(m, n)
+            d = (x >= t[lo : lo + m, None]).astype(np.int8) - (y >= u[lo : lo + m, None])
+            diffs.append((w[:, at] * d).sum(1) / (w @ per))
+        good = np.isfinite(t) & np.isfinite(u)
+        ends = np.percentile(np.concatenate(diffs)[good], (2.5, 97.5)) if good.any() else (math.nan, math.nan)
+        a, b = full.get(key[0], math.nan), full.get(key[1], math.nan)
+        d = (x >= a).astype(float) - (y >= b)
+        diff = float(d.mean()) if math.isfinite(a) and math.isfinite(b) else math.nan
+        return pd.DataFrame([[*key, len(x), diff, *ends, 1 - good.mean(), stats.sign_flip(np.bincount(at, weights=d), flips, "|".join(("success", *key)))]], columns=names)
+
+    return pairs.groupBy("m1", "m2").applyInPandas(run, "m1 string, m2 string, n_queries bigint, diff double, diff_lo double, diff_hi double, unresolved double, p double")
+
+
+def with_holm(tests: DataFrame, p: str, name: str) -> DataFrame:
+    """``tests`` with Holm's adjusted ``p`` over all its rows that have one; few rows, as one task orders them."""
+    family = Window.partitionBy(F.col(p).isNull())
+    order = family.orderBy(p)
+    t = tests.withColumn("__rn", F.row_number().over(order)).withColumn("__m", F.count(F.lit(1)).over(family))
+    return t.withColumn(name, F.max(F.least(F.lit(1.0), (F.col("__m") - F.col("__rn") + 1) * F.col(p))).over(family.orderBy("__rn").rowsBetween(Window.unboundedPreceding, 0))).drop("__rn", "__m")

@@ -201,16 +201,26 @@ def _wilcoxon(pairs: DataFrame) -> DataFrame:
     return r.groupBy("m1", "m2").agg(F.count(F.lit(1)).alias("n"), F.round(F.least(plus, minus), 6).alias("w"))
 
 
-@query("INF3 INF4 INF7")
+@query("INF3 INF4 INF6 INF7")
 def paired_tests(spark: SparkSession, d: str) -> DataFrame:
-    """Sign-flip and signed-rank p values of source means, one row for each pair of methods."""
+    """Sign-flip and signed-rank p values of source means, and the difference in TPR with its interval, one row for each pair of methods.
+
+    As in cluster_bootstrap, calibration records stand in for the positive queries
+    and scores of 0.5 and more for right results. holm adjusts p, of the difference
+    in TPR, and sign_flip_holm sign_flip, each over all pairs.
+    """
     means = _paired(spark, d).groupBy("m1", "m2", "source_id").agg((F.avg("s1") - F.avg("s2")).alias("d"))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.sort_values("source_id")["d"].to_numpy()
         return pd.DataFrame([[*key, len(x), stats.sign_flip(x, 2000, "|".join(key)), stats.wilcoxon(x)[1]]], columns=["m1", "m2", "n", "sign_flip", "wilcoxon"])
 
-    return means.groupBy("m1", "m2").applyInPandas(run, "m1 string, m2 string, n bigint, sign_flip double, wilcoxon double")
+    tests = means.groupBy("m1", "m2").applyInPandas(run, "m1 string, m2 string, n bigint, sign_flip double, wilcoxon double")
+    r = negative_records(spark, d).where(F.col("source_id").isNotNull() & F.col("cal").isNotNull())
+    right = F.max(F.when(F.col("top1") >= 0.5, F.col("top1"))).alias("top1")
+    positives = r.where(F.col("cal") & F.col("attack").isNotNull()).groupBy("method", "source_id", "attack").agg(right)
+    difference = evaluate.paired_difference(positives, r.where(~F.col("cal")), "method", "source_id", "attack", "top1", 0.05)
+    return evaluate.with_holm(evaluate.with_holm(tests.join(difference, ["m1", "m2"], "left"), "sign_flip", "sign_flip_holm"), "p", "holm")
 
 
 @query("INF1 INF2 UDF2")

@@ -147,12 +147,32 @@ def sign_flip(d: np.ndarray, flips: int = 20_000, seed: object = "flip") -> floa
     if len(d) == 0:
         return 1.0
     seen, rng, hits = abs(d.mean()), rng_for(seed), 0
-    for lo in range(0, flips, 2000):
-        signs = rng.choice((-1.0, 1.0), size=(min(2000, flips - lo), len(d)))
-        hits += int((np.abs((signs * d).mean(1)) >= seen - 1e-12).sum())
+    step = max(1, 4_000_000 // len(d))  # bounds the memory of a block of flips
+    for lo in range(0, flips, step):
+        plus = rng.integers(0, 2, size=(min(step, flips - lo), len(d)), dtype=np.uint8)
+        hits += int((np.abs((2.0 * (plus @ d) - d.sum()) / len(d)) >= seen - 1e-12).sum())
     return (hits + 1) / (flips + 1)
 
 
+def source_mean_interval(sums: np.ndarray, counts: np.ndarray, at: np.ndarray, draws: int = 10_000, seed: object = "mean") -> tuple[float, float]:
+    """95 % percentile interval of the mean of items, sources being drawn with replacement: a draw is a ratio of sums.
+
+    ``at`` is the source of each partial sum and count. Sources without items are
+    not drawn; fewer than two sources give NaN.
+    """
+    n = np.bincount(at, weights=counts)
+    x = np.bincount(at, weights=sums)[n > 0]
+    n = n[n > 0]
+    if len(n) < 2:
+        return math.nan, math.nan
+    rng, means, step = rng_for(seed), [], max(1, 4_000_000 // len(n))
+    for lo in range(0, draws, step):
+        drawn = rng.integers(0, len(n), (min(step, draws - lo), len(n)))
+        means.append(x[drawn].sum(1) / n[drawn].sum(1))
+    lo, hi = np.percentile(np.concatenate(means), (2.5, 97.5))
+    return float(lo), float(hi)
+
+
 def weighted_order_statistic(scores: np.ndarray, weights: np.ndarray, share: float, least: int = 5, step: float = 1e-6) -> float:
     """The score at which the weight above reaches ``share`` of all, plus ``step``; NaN where fewer than ``least`` are allowed above.
 

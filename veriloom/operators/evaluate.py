@@ -101,38 +101,58 @@ def best_by(rows: DataFrame, group: list[str], value: str, name: str) -> DataFra
     return rows.withColumn("__r", F.row_number().over(best)).where(F.col("__r") == 1).select(*group, name, value)
 
 
-def cluster_bootstrap(rows: DataFrame, group: str, source: str, positive: str, hit: str, score: str, target: float, draws: int = 200) -> DataFrame:
-    """Source-clustered intervals of recall, TPR and FPR per group, the threshold being computed again in each draw.
-
-    (group, recall_lo, recall_hi, tpr_lo, tpr_hi, fpr_lo, fpr_hi, unresolved).
-    Sources are drawn with replacement; a draw weights each row by the times its
-    source was drawn. Rows are first reduced to one record per source in Spark, so
-    a group's task holds its sources and their scores.
+def cluster_bootstrap(rows: DataFrame, group: str, source: str, positive: str, hit: str, score: str, target: float, draws: int = 2000, mean_draws: int = 10_000) -> DataFrame:
+    """Source-clustered intervals of recall, TPR, FPR and mean score per group, the threshold being computed again in each draw.
+
+    (group, recall_lo, recall_hi, tpr_lo, tpr_hi, fpr_lo, fpr_hi, unresolved,
+    mean_lo, mean_hi). Sources are drawn with replacement; a draw weights each row
+    by the times its source was drawn. Spark counts the rows of each source by
+    score first; a group's task holds these counts, sorts them once, and a draw is
+    a weighted sum. Groups are not split further. The mean of the finite scores,
+    of ``mean_draws`` draws, is not defined for fewer than two sources.
     """
-    schema = f"`{group}` string, recall_lo double, recall_hi double, tpr_lo double, tpr_hi double, fpr_lo double, fpr_hi double, unresolved double"
+    schema = f"`{group}` string, recall_lo double, recall_hi double, tpr_lo double, tpr_hi double, fpr_lo double, fpr_hi double, unresolved double, mean_lo double, mean_hi double"
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
 
-        ids, at = np.unique(pdf[source].astype(str), return_inverse=True)
-        pos = pdf[positive].to_numpy(bool)
-        ok, s = pdf[hit].fillna(False).to_numpy(bool), pdf[score].to_numpy(float)
+        ids, at = np.unique(pdf["__s"].astype(str), return_inverse=True)
+        pos, ok = pdf["__p"].to_numpy(bool), pdf["__h"].to_numpy(bool)
+        s, times = pdf["__x"].to_numpy(float), pdf["__n"].to_numpy(float)
         rng, got, bad = stats.rng_for("bootstrap", key[0]), [], 0
         cal = ~pos & (at % 2 == 0)
         test = ~pos & ~cal
+
+        def per_source(rows: np.ndarray) -> np.ndarray:
+            return np.bincount(at[rows], weights=times[rows], minlength=len(ids))
+
+        def ranked(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            rows = np.flatnonzero(rows)
+            rows = rows[np.argsort(-s[rows], kind="stable")]
+            return s[rows], at[rows], times[rows]
+
+        def passed(r: tuple[np.ndarray, np.ndarray, np.ndarray], w: np.ndarray, t: float) -> float:
+            m = np.searchsorted(-r[0], -t, side="right")
+            return float((w[r[1][:m]] * r[2][:m]).sum())
+
+        all_pos, all_hits, all_test = per_source(pos), per_source(pos & ok), per_source(test)
+        by_cal, by_hit, by_test = ranked(cal), ranked(pos & ok), ranked(test)
         for _ in range(draws):
-            w = np.bincount(rng.integers(0, len(ids), len(ids)), minlength=len(ids))[at].astype(float)
-            t = stats.weighted_order_statistic(s[cal], w[cal], target)
-            r = (w[pos] * ok[pos]).sum() / max(1.0, w[pos].sum())
+            w = np.bincount(rng.integers(0, len(ids), len(ids)), minlength=len(ids)).astype(float)
+            t = stats.ranked_order_statistic(by_cal[0], w[by_cal[1]] * by_cal[2], target)
+            n_pos = max(1.0, w @ all_pos)
+            r = (w @ all_hits) / n_pos
             if np.isnan(t):
                 bad += 1
                 got.append((r, np.nan, np.nan))
             else:
-                got.append((r, (w[pos] * (ok[pos] & (s[pos] >= t))).sum() / max(1.0, w[pos].sum()), (w[test] * (s[test] >= t)).sum() / max(1.0, w[test].sum())))
+                got.append((r, passed(by_hit, w, t) / n_pos, passed(by_test, w, t) / max(1.0, w @ all_test)))
         q = [np.nanpercentile(c, (2.5, 97.5)) if np.isfinite(c).any() else (np.nan, np.nan) for c in np.array(got).T]
-        return pd.DataFrame([[key[0], *q[0], *q[1], *q[2], bad / draws]], columns=[c.split()[0].strip("`") for c in schema.split(", ")])
+        ends = stats.source_mean_interval(np.where(np.isfinite(s), s, 0.0) * times, np.where(np.isfinite(s), times, 0.0), at, mean_draws, f"mean|{key[0]}")
+        return pd.DataFrame([[key[0], *q[0], *q[1], *q[2], bad / draws, *ends]], columns=[c.split()[0].strip("`") for c in schema.split(", ")])
 
-    return rows.select(F.col(group).cast("string").alias(group), source, positive, hit, score).groupBy(group).applyInPandas(run, schema)
+    r = rows.select(F.col(group).cast("string").alias(group), F.col(source).alias("__s"), F.col(positive).alias("__p"), F.coalesce(F.col(hit), F.lit(False)).alias("__h"), F.col(score).cast("double").alias("__x"))
+    return r.groupBy(group, "__s", "__p", "__h", "__x").agg(F.count(F.lit(1)).alias("__n")).groupBy(group).applyInPandas(run, schema)
 
 
 def shared_thresholds(negatives: DataFrame, group: str, source: str, score: str, target: float, draws: int = 2000) -> DataFrame:

@@ -213,7 +213,7 @@ def paired_tests(spark: SparkSession, d: str) -> DataFrame:
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.sort_values("source_id")["d"].to_numpy()
-        return pd.DataFrame([[*key, len(x), stats.sign_flip(x, 2000, "|".join(key)), stats.wilcoxon(x)[1]]], columns=["m1", "m2", "n", "sign_flip", "wilcoxon"])
+        return pd.DataFrame([[*key, len(x), stats.sign_flip(x, seed="|".join(key)), stats.wilcoxon(x)[1]]], columns=["m1", "m2", "n", "sign_flip", "wilcoxon"])
 
     tests = means.groupBy("m1", "m2").applyInPandas(run, "m1 string, m2 string, n bigint, sign_flip double, wilcoxon double")
     r = negative_records(spark, d).where(F.col("source_id").isNotNull() & F.col("cal").isNotNull())
@@ -226,7 +226,7 @@ def paired_tests(spark: SparkSession, d: str) -> DataFrame:
 @query("INF1 INF2 UDF2")
 def cluster_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     r = negative_records(spark, d).where(F.col("source_id").isNotNull() & F.col("cal").isNotNull()).select("method", "source_id", F.col("cal").alias("positive"), (F.col("top1") >= 0.5).alias("hit"), "top1")
-    return evaluate.cluster_bootstrap(r, "method", "source_id", "positive", "hit", "top1", 0.05, draws=100)
+    return evaluate.cluster_bootstrap(r, "method", "source_id", "positive", "hit", "top1", 0.05)
 
 
 @query("LOC3 LOC9", R + """,

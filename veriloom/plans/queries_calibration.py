@@ -99,7 +99,7 @@ def threshold_fallback(spark: SparkSession, d: str) -> DataFrame:
     return q.join(strict, "method", "left").join(loose, "method", "left").select("method", F.round(calibrate.fallback_threshold(F.col("strict"), F.col("loose"), F.col("q")), 6).alias("threshold"))
 
 
-@query("CAL8 INF10", R + """,
+@query("CAL8", R + """,
 f AS (SELECT method, len(scores) AS inl FROM rec WHERE cal),
 g AS (SELECT method, inl, count(*) AS n FROM f GROUP BY ALL),
 c AS (SELECT method, inl, sum(n) OVER (PARTITION BY method ORDER BY inl DESC) AS above FROM g)

@@ -5,3 +5,7 @@ from veriloom.plans import catalog
 
 def test_verification_bootstrap_is_not_claimed():
     assert "INF10" not in catalog.operators() and catalog.operators()["CAL8"] == ["verification_k"]
+
+
+def test_picker_inlier_check_and_range_join_are_not_claimed():
+    assert not {"LOC17", "JOI18", "JOI6"} & set(catalog.operators())

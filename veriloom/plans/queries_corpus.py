@@ -186,7 +186,7 @@ def diagonal_offset(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumn("rn", F.row_number().over(best)).where(F.col("rn") == 1).select("k", "offset", F.round("m", 6).alias("mean_sim"), "overlap")
 
 
-@query("LOC6 LOC17", "SELECT l_returnflag, l_orderkey, l_linenumber FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_returnflag ORDER BY md5(concat_ws(':', 'pixels', l_orderkey || '-' || l_linenumber)), l_orderkey || '-' || l_linenumber) <= 4000")
+@query("LOC6", "SELECT l_returnflag, l_orderkey, l_linenumber FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_returnflag ORDER BY md5(concat_ws(':', 'pixels', l_orderkey || '-' || l_linenumber)), l_orderkey || '-' || l_linenumber) <= 4000")
 def hash_sample(spark: SparkSession, d: str) -> DataFrame:
     """At most 4000 lines of each return flag, which is the feature of this operator."""
     li = table(spark, d, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber", F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("key"))
@@ -231,7 +231,7 @@ def landmark_count(spark: SparkSession, d: str) -> DataFrame:
     return postings.aligned_counts(_votes(spark, d))
 
 
-@query("SIM7 JOI18 LOC11", "WITH " + CANDIDATES_SQL + """,
+@query("SIM7 LOC11", "WITH " + CANDIDATES_SQL + """,
 tried AS (SELECT DISTINCT query_id, ref_id, off + unnest(range(-2, 3)) AS o FROM cand WHERE rank <= 20),
 nq AS (SELECT query_id, count(*) AS nq FROM qs GROUP BY 1),
 m AS (SELECT t.query_id, t.ref_id, o, sum(bit_count(xor(q.hash & 4294967295, r.hash & 4294967295)))::BIGINT AS wrong, count(*) AS n FROM tried t JOIN qs q ON q.query_id = t.query_id JOIN rs r ON r.ref_id = t.ref_id AND r.pos = q.pos + o GROUP BY ALL)

@@ -197,7 +197,7 @@ def _evidence(spark: SparkSession, d: str) -> DataFrame:
     return found.join(sets, "query_id").select("set_name", F.col("query_id").alias("item_id"), "method", F.col("ref_id").alias("anchor_id"))
 
 
-@query("JOI6 JOI9 JOI10", EVIDENCE_SQL + "SELECT set_name, item_id, method, anchor_id FROM pairs")
+@query("JOI9 JOI10", EVIDENCE_SQL + "SELECT set_name, item_id, method, anchor_id FROM pairs")
 def near_duplicate_evidence(spark: SparkSession, d: str) -> DataFrame:
     return _evidence(spark, d)
 

@@ -91,6 +91,11 @@ def p7_items(spark: SparkSession, d: str) -> DataFrame:
     return p7_leaks(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.max("share").alias("max_share"))
 
 
+def p7_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    """Every document without the spans that stand in evaluation items."""
+    return leakage.without_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def p8_languages(spark: SparkSession, d: str) -> DataFrame:
     """Every stretch of every document."""
     return langid.languages(table(spark, d, "documents")).drop("label")
@@ -102,4 +107,4 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_cutoffs, p3_found, p3_neighbours, p5_found, p5_splits, p6_found, p6_packed, p7_found, p7_leaks, p7_items, p8_found, p8_languages)}
+    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_cutoffs, p3_found, p3_neighbours, p5_found, p5_splits, p6_found, p6_packed, p7_found, p7_leaks, p7_items, p7_cleaned, p8_found, p8_languages)}

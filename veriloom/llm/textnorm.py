@@ -48,3 +48,32 @@ def words(text: str) -> list[str]:
     if not text.isascii():
         text = _COMBINING.sub("", unicodedata.normalize("NFKD", text))
     return _WORDS.findall(text.lower())
+
+
+_PIECE = re.compile(r"[^ \t\r\n]+")
+
+
+def located(text: str) -> tuple[list[str], list[tuple[int, int]]]:
+    """The words of a text, and where each begins and ends in it.
+
+    Words are those of ``words`` but for entities and damaged characters that
+    hold blanks; several words of one blank-separated piece have the piece's
+    place.
+    """
+    bare = _MARKUP.sub(lambda m: " " * len(m.group(0)), text) if "<" in text else text
+    out: list[str] = []
+    where: list[tuple[int, int]] = []
+    begin, held = -1, ""
+    for m in _PIECE.finditer(bare):
+        piece = held + m.group(0)
+        start = begin if held else m.start()
+        tail = bare[m.end() : m.end() + 64]
+        blank = tail[: len(tail) - len(tail.lstrip(" \t\r\n"))]
+        if piece.endswith("-") and len(piece) > 1 and piece[-2].isalpha() and "\n" in blank and tail[len(blank) : len(blank) + 1].isalpha():
+            held, begin = piece[:-1], start
+            continue
+        held = ""
+        for w in words(piece):
+            out.append(w)
+            where.append((start, m.end()))
+    return out, where

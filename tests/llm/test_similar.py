@@ -93,3 +93,47 @@ def test_vector_pairs_only_cross_sides_and_include_equal_vectors(spark):
     want = {(f"k{i}", f"k{j}") for i in range(100) for j in range(100, 200) if u[i] @ u[j] >= 0.8}
     got = {(r.q, r.r) for r in overlap.vector_pairs(spark.createDataFrame(rows, "k string, vec array<float>, side boolean"), "k", "vec", "side", 16, 0.8).collect()}
     assert len(got & want) >= 0.97 * len(want) and got <= want and ("k60", "k150") in got and ("k61", "k150") in got
+
+
+def test_layout_cuts_large_cells_and_every_vector_has_a_home(spark):
+    """With tasks of few rows, shuffled rows stay in proportion and nothing is lost."""
+    rng = np.random.default_rng(8)
+    moved = {}
+    for n in (4000, 8000):
+        x = near_data(rng, n, 16, n // 6)
+        df = spark.createDataFrame([(f"i{i:05d}", "m", v.tolist()) for i, v in enumerate(x)], "item_id string, method string, vec array<float>")
+        space = [Space("m", "ip", 16)]
+        rows = similar.usable(df, space, "method", "vec").select("__space", "item_id", "vec").selectExpr("*", "xxhash64(vec) as node", "0 as sides")
+        similar.train(rows, space, "item_id", "vec", 16, 65536, 100)
+        out = rows.select("__space", "node", "sides", "vec").mapInArrow(similar._assign(space, 16, 8), similar.MOVED)
+        per_task = [(r["n"], r["h"]) for r in out.groupBy("task").agg({"*": "count", "home": "max"}).selectExpr("`count(1)` as n", "1 as h").collect()]
+        homes = out.where("home").count()
+        moved[n] = sum(a for a, _ in per_task) / n
+        assert homes == n and max(a for a, _ in per_task) < 100 * 16 * 2
+        got = {(int(r.item_id[1:]), int(r.other[1:])) for r in similar.most_similar(df, [Space("m", "ip", 16)], 5, [0.9], block_rows=100).collect()}
+        want = brute(x.astype(np.float32), 5, 0.9, "ip")
+        assert len(got & want) >= 0.99 * len(want)
+    assert moved[8000] < 1.2 * moved[4000] and moved[8000] <= 16
+
+
+def test_a_cell_of_many_different_vectors_is_salted():
+    s = Space("m", "l2", 4, (np.zeros((2, 2), np.float32), np.zeros((2, 2), np.float32)))
+    similar.layout(s, np.zeros(100, int), np.zeros(100, int), 10.0, 2, 100)
+    assert s.salted == {0: 10} and s.blocks.tolist() == [2, 1] and s.salts[0] >= 4
+
+
+def test_kmeans_in_parts_equals_whole():
+    x = np.random.default_rng(1).normal(size=(500, 8)).astype(np.float32)
+    assert (similar.nearest(x, x[:50], 100) == similar.nearest(x, x[:50])).all()
+
+
+def test_hot_code_on_both_sides(spark):
+    rows = [(f"q{i}", [5], True) for i in range(40)] + [(f"r{i}", [5 if i < 30 else 4], False) for i in range(40)]
+    got = overlap.code_pairs(spark.createDataFrame(rows, "k string, w array<bigint>, s boolean"), "k", "w", "s", 64, 1).count()
+    assert got == 1600
+
+
+def test_record_hash_ignores_case_punctuation_and_blanks(spark):
+    df = spark.createDataFrame([("A, b!", "c"), ("a  B", " C."), ("a b c", ""), (None, "..."), ("ab", "c")], "x string, y string")
+    h = [r[0] for r in df.select(overlap.record_hash(df.x, df.y)).collect()]
+    assert h[0] == h[1] and h[3] is None and len(set(h)) == 4

@@ -5,7 +5,9 @@ canonical content hashes, binary codes within a Hamming radius, and vectors
 above a cosine. Hashes are joined after case, punctuation and whitespace are
 normalised. Codes are joined exactly: cut into more bands than the radius has
 bits, two codes within the radius agree on a band, up to the few bits that the
-query side flips. Vectors are found with the inverted multi-index.
+query side flips. Vectors are found with the inverted multi-index. Equal codes,
+and equal vectors, are one class in these searches; only the links that they
+find are spread over the members.
 """
 
 from __future__ import annotations
@@ -23,6 +25,17 @@ def canonical_hash(c: Column) -> Column:
     return F.when(bare.rlike("^[0-9a-f]{64}$"), bare)
 
 
+def record_hash(*columns: Column) -> Column:
+    """SHA-256 of a record's text fields after case, punctuation and whitespace are normalised; null if nothing is left.
+
+    Punctuation counts as a blank, runs of blanks as one, and fields are told
+    apart; a null field counts as an empty one.
+    """
+    bare = [F.trim(F.regexp_replace(F.lower(F.coalesce(c.cast("string"), F.lit(""))), r"[^\p{L}\p{N}]+", " ")) for c in columns]
+    text = F.concat_ws("\x1f", *bare)
+    return F.when(F.length(F.replace(text, F.lit("\x1f"), F.lit(""))) > 0, F.sha2(text, 256))
+
+
 def hash_pairs(records: DataFrame, key: str, digest: str, side: str) -> DataFrame:
     """(q, r): pairs of an evaluation key (``side`` true) and a training key (false) with equal canonical hashes.
 
@@ -61,19 +74,23 @@ def code_pairs(codes: DataFrame, key: str, words: str, side: str, bits: int, rad
     edges = [bits * i // bands for i in range(bands + 1)]
     parts = F.array(*[F.struct(F.lit(i).cast("smallint").alias("band"), _band(F.array(*[F.col(f"w{j}") for j in range(n_words)]), edges[i], edges[i + 1] - edges[i]).alias("bits")) for i in range(bands)])
     names = [f"w{i}" for i in range(n_words)]
-    filed = rows.select("k", "s", *names, F.explode(parts).alias("p")).select("k", "s", *names, "p.band", "p.bits")
+    # Distinct codes are searched; a code on both sides is filed on both.
+    filed = rows.select("s", *names).distinct().select("s", *names, F.explode(parts).alias("p")).select("s", *names, "p.band", "p.bits")
     q, r = filed.where("s"), filed.where(~F.col("s"))
     if flips:
         width = max(b - a for a, b in zip(edges, edges[1:], strict=False))
-        flipped = F.transform(F.sequence(F.lit(0), F.lit(width)), lambda i: F.when(i == 0, F.col("bits")).otherwise(F.col("bits").bitwiseXOR(F.shiftleft(F.lit(1).cast("bigint"), 0) * F.pow(F.lit(2.0), (i - 1).cast("double")).cast("bigint"))))
+        flipped = F.transform(F.sequence(F.lit(0), F.lit(width)), lambda i: F.when(i == 0, F.col("bits")).otherwise(F.col("bits").bitwiseXOR(F.pow(F.lit(2.0), (i - 1).cast("double")).cast("bigint"))))
         q = q.withColumn("bits", F.explode(flipped))
-    q = q.select("band", "bits", F.col("k").alias("q"), *[F.col(n).alias(f"q_{n}") for n in names])
-    r = r.select("band", "bits", F.col("k").alias("r"), *[F.col(n).alias(f"r_{n}") for n in names])
+    q = q.select("band", "bits", *[F.col(n).alias(f"q_{n}") for n in names])
+    r = r.select("band", "bits", *[F.col(n).alias(f"r_{n}") for n in names])
     apart = sum((F.bit_count(F.col(f"q_{n}").bitwiseXOR(F.col(f"r_{n}"))) for n in names[1:]), F.bit_count(F.col("q_w0").bitwiseXOR(F.col("r_w0"))))
-    return q.join(r, ["band", "bits"]).where(apart <= radius).select("q", "r").distinct()
+    linked = q.join(r, ["band", "bits"]).where(apart <= radius).drop("band", "bits").distinct()
+    of_q = rows.where("s").select(F.col("k").alias("q"), *[F.col(n).alias(f"q_{n}") for n in names])
+    of_r = rows.where(~F.col("s")).select(F.col("k").alias("r"), *[F.col(n).alias(f"r_{n}") for n in names])
+    return linked.join(of_q, [f"q_{n}" for n in names]).join(of_r, [f"r_{n}" for n in names]).select("q", "r").distinct()
 
 
-def vector_pairs(vectors: DataFrame, key: str, vec: str, side: str, dim: int, least: float, probes: int = 40, **index: int) -> DataFrame:
+def vector_pairs(vectors: DataFrame, key: str, vec: str, side: str, dim: int, least: float, probes: int = 96, **index: int) -> DataFrame:
     """(q, r): pairs of an evaluation key and a training key with a cosine of at least ``least``, by the inverted multi-index.
 
     Approximate, see ``similar``. Vectors that are not usable (null, wrong

@@ -1,10 +1,11 @@
 """Filling containers of fixed capacity with texts.
 
 Texts longer than a container are cut into full containers and a remainder;
-everything else stays whole. Remainders and short texts are packed by
-first-fit decreasing with a tournament tree over the free space of the bins,
-independently in randomised groups, so the work of a task is bounded by the
-group size whatever the number of texts.
+everything else stays whole. Full pieces have a container of their own at once.
+Remainders and short texts, at most one a text, are packed by first-fit
+decreasing with a tournament tree over the free space of the bins, independently
+in randomised groups, so the work of a task is bounded by the group size whatever
+the number and the length of the texts.
 """
 
 from __future__ import annotations
@@ -73,12 +74,12 @@ def pack(sized: DataFrame, capacity: int, key: str = "doc_id", size: str = "n_to
     n = sized.count() if rows is None else rows
     groups = max(1, math.ceil(n / group_rows))
     total = F.col("total")
-    last = F.floor((total - 1) / capacity).cast("int")  # containers filled by the text alone
     items = sized.where(F.col(size) > 0).select(F.col(key).alias("key"), F.col(size).cast("bigint").alias("total"))
-    pieces = items.select("key", "total", F.explode(F.sequence(F.lit(0), last)).alias("piece_no"))
-    start = F.col("piece_no").cast("bigint") * capacity
-    # A full piece fills a bin of its own, so it can be packed in any group.
-    pieces = pieces.select("key", "piece_no", start.alias("start_token"), F.least(total - start, F.lit(capacity)).alias("n_tokens"), F.pmod(F.xxhash64("key", "piece_no", F.lit(20260926)), F.lit(groups)).cast("int").alias("grp"))
+    n_full = F.floor(total / capacity).cast("int")
+    full = items.where(total >= capacity).withColumn("row", F.monotonically_increasing_id()).select("key", "row", F.explode(F.sequence(F.lit(0), n_full - 1)).alias("piece_no"))
+    full = full.select("key", "piece_no", (F.col("piece_no").cast("bigint") * capacity).alias("start_token"), F.lit(capacity).cast("bigint").alias("n_tokens"), F.concat_ws("-", F.lit("f"), "row", "piece_no").alias("container"))
+    rest = items.where(total % capacity > 0).select("key", n_full.alias("piece_no"), (n_full.cast("bigint") * capacity).alias("start_token"), (total % capacity).alias("n_tokens"))
+    rest = rest.withColumn("grp", F.pmod(F.xxhash64("key", "piece_no", F.lit(1)), F.lit(groups)).cast("int"))
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["key", "piece_no"], kind="stable")
@@ -87,7 +88,7 @@ def pack(sized: DataFrame, capacity: int, key: str = "doc_id", size: str = "n_to
         return pdf.assign(container=name)[["key", "piece_no", "start_token", "n_tokens", "container"]]
 
     kind = dict(sized.dtypes)[key]
-    packed = pieces.groupBy("grp").applyInPandas(fill, f"key {kind}, piece_no int, start_token bigint, n_tokens bigint, container string")
-    return packed.withColumnRenamed("key", key)
+    packed = rest.groupBy("grp").applyInPandas(fill, f"key {kind}, piece_no int, start_token bigint, n_tokens bigint, container string")
+    return packed.unionByName(full).withColumnRenamed("key", key)
 
 

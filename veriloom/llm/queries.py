@@ -78,6 +78,18 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_packed(spark, d).where(F.col("piece_no") == 1).select("doc_id")
 
 
+def p6_balance(spark: SparkSession, d: str) -> DataFrame:
+    """One row: documents and tokens packed, and whether pieces are whole, in order and within capacity, and containers nearly as few as can be."""
+    capacity = int(table(spark, d, "pack_sizes").select("capacity_tokens").first()[0])
+    packed = p6_packed(spark, d)
+    boxes = packed.groupBy("container").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("pieces"), F.countDistinct("doc_id").alias("docs"))
+    fit = boxes.agg(F.count(F.lit(1)).alias("containers"), F.sum("n").alias("tokens"), F.max("n").alias("fullest"), F.sum(F.when(F.col("pieces") > F.col("docs"), 1).otherwise(0)).alias("odd"))
+    docs = packed.groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("pieces"), F.max("piece_no").alias("last"), F.max(F.col("start_token") + F.col("n_tokens")).alias("upto"))
+    whole = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n_tokens"), F.min(((F.col("pieces") == F.col("last") + 1) & (F.col("upto") == F.col("n")) & (F.col("pieces") == F.ceil(F.col("n") / capacity))).cast("int")).alias("ok"))
+    least = F.ceil(F.col("tokens") / capacity)
+    return fit.join(whole, F.col("tokens") == F.col("n_tokens")).select("n_docs", "n_tokens", (F.col("ok") == 1).alias("whole"), (F.col("fullest") <= capacity).alias("within"), (F.col("containers") <= least * 1.05 + 2).alias("nearly_full"))
+
+
 def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -107,4 +119,4 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_cutoffs, p3_found, p3_neighbours, p5_found, p5_splits, p6_found, p6_packed, p7_found, p7_leaks, p7_items, p7_cleaned, p8_found, p8_languages)}
+    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_cutoffs, p3_found, p3_neighbours, p5_found, p5_splits, p6_found, p6_packed, p6_balance, p7_found, p7_leaks, p7_items, p7_cleaned, p8_found, p8_languages)}

@@ -68,3 +68,27 @@ def test_label_names(spark):
 def test_nothing_to_train_on(spark):
     with pytest.raises(ValueError, match="no labelled text"):
         langid.fit([])
+
+
+def test_confidence_is_the_share_of_right_answers(model):
+    rows = [(text(lang, 40, 5000 + i), lang) for lang in WORDS for i in range(60)]
+    table = langid.reliability(model, rows)
+    assert sum(r[2] for r in table) > 500
+    assert sum(n * abs(p - right) for _, _, n, p, right in table) / sum(r[2] for r in table) < 0.05
+
+
+def test_planted_mixtures_by_language(model):
+    hit = dict.fromkeys(WORDS, 0)
+    for i, a in enumerate(WORDS):
+        for b in WORDS:
+            if a != b:
+                for k in range(5):
+                    got = [s[2] for s in model.stretches(f"{text(a, 45, 100 * i + k)} {text(b, 35, 700 + k)}")]
+                    hit[a] += got == [a, b]
+    assert min(hit.values()) >= 14  # of 15
+
+
+def test_doubtful_stretches_are_rejected(spark):
+    rows = [(i * 10 + j, text(lang, 40, i * 7 + j), lang) for i, lang in enumerate(WORDS) for j in range(30)] + [(900, "qqq", None)]
+    found = langid.languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert {r.rejected for r in found.where("doc_id < 900").collect()} == {False} and all(r.rejected == (r.confidence < 0.8) for r in found.collect())

@@ -48,3 +48,9 @@ def test_empty_table(spark):
 def test_long_body(spark):
     body = json.dumps({"magnitude": {"m": {"rows": [{"clip": "c" * 100, "trials": [{"speed": i}] * 3} for i in range(3000)]}}})
     assert len(found(spark, [body])) == 1 + 3000 + 9000
+
+
+def test_a_complete_body_counts_among_broken_repeats(spark):
+    whole = json.dumps({"methods": {"m": {"x": 1}}})
+    df = spark.createDataFrame([(1, whole), (1, "{zzz" + whole), (1, None), (2, "~~")], "record_id bigint, body string")
+    assert {tuple(r)[:3] for r in nested.entries(df).collect()} == {(1, "method", "m")}

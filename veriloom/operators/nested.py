@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veriloom.plans.session import stage
+
 ENTRIES = "record_id bigint, entity string, name string, ord int, sub_ord int, value string"
 _SECTIONS = "methods string, attack_family string, magnitude string, video string, record string, results string, payload string"
 
@@ -53,17 +55,18 @@ def _magnitudes(members: Column) -> Column:
 def sections(records: DataFrame, key: str = "record_id", body: str = "body") -> DataFrame:
     """(record_id, methods, attacks, magnitudes): the sections of each record as nested lists.
 
-    Repeats of a key count once. Bodies may carry a byte order mark, be encoded
+    Repeats of a key count once, with a complete body where there is one. Bodies may carry a byte order mark, be encoded
     as a JSON string, or wrap the sections in ``record``, ``payload`` or the
     elements of ``results``; ``magnitude`` may stand at the top or in ``video``.
     Null, blank and incomplete bodies, and null keys, give no row.
     """
     raw = records.where(F.col(key).isNotNull() & F.col(body).isNotNull()).select(F.col(key).cast("bigint").alias("record_id"), F.col(body).alias("body"))
-    raw = raw.groupBy("record_id").agg(F.max("body").alias("body"))
     trimmed = F.regexp_replace("body", r"^[\s\x{feff}]+|\s+$", "")
     root = raw.select("record_id", _text(trimmed).alias("doc")).where(F.col("doc").isNotNull())
     # A body that is a JSON string holds the record as text.
     root = root.select("record_id", F.when(F.col("doc").startswith("{") | F.col("doc").startswith("["), _text(F.col("doc"))).alias("doc"))
+    # Only complete bodies count among the repeats of a key.
+    root = root.where(F.col("doc").isNotNull()).groupBy("record_id").agg(F.max("doc").alias("doc"))
     for _ in range(2):  # wrappers, at most two deep
         parts = F.from_json("doc", _SECTIONS)
         inner = F.concat(F.array("doc"), _elements(F.coalesce(parts["record"], F.lit(""))), _elements(F.coalesce(parts["results"], F.lit(""))), _elements(F.coalesce(parts["payload"], F.lit(""))))
@@ -133,7 +136,7 @@ def flat_tables(records: DataFrame, key: str = "record_id", body: str = "body")
     unless they are plain numbers; the text columns keep what was written. An
     interval is read from a list or from an object with lo and hi.
     """
-    e = entries(records, key, body)
+    e = stage(entries(records, key, body), "entries")  # parsed once for all five tables
     num = lambda c: F.expr(f"try_cast({c} as double)")
 
     def of(entity: str, schema: str, *extra: str) -> DataFrame:

@@ -3,8 +3,9 @@
 Operators that iterate, or whose input would otherwise be recomputed, cut the
 lineage by writing Parquet to the folder named in ``spark.checkpoint.dir``.
 That folder is shared by all executors of a cluster, so staged tables survive
-the loss of any executor. Only where the setting is absent (tests, local runs)
-is a folder of our own used.
+the loss of any executor. Where the setting is absent, a local session uses a
+folder of its own, and any other one is refused: its executors would write to
+their own disks and rows would go missing.
 """
 
 from __future__ import annotations
@@ -51,8 +52,9 @@ def workspace(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _folders:
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        if not base:
-            base = tempfile.mkdtemp(prefix="veriloom-")
+        if not base and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = base or tempfile.mkdtemp(prefix="veriloom-")
         _folders[app] = f"{base.rstrip('/')}/veriloom-{uuid.uuid4().hex[:12]}"
         atexit.register(_delete, spark, _folders[app])
     return _folders[app]
@@ -74,6 +76,17 @@ def stage(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(df: DataFrame) -> None:
+    """Delete the table that ``stage`` made for ``df``; other staged tables stay."""
+    spark = df.sparkSession
+    base = _folders.get(spark.sparkContext.applicationId)
+    for f in df.inputFiles() if base else []:
+        folder = f.rsplit("/", 1)[0]
+        if folder.split("://")[-1].split(":", 1)[-1].startswith(base.split("://")[-1].split(":", 1)[-1]):
+            _delete(spark, folder)
+            return
+
+
 def release(spark: SparkSession) -> None:
     """Delete all staged tables of this application."""
     app = spark.sparkContext.applicationId

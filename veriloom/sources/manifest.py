@@ -19,8 +19,26 @@ def read_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
 
 
 def read_records(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """JSON records, one a line or one a file, plain or gzip by their extension."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+    """JSON records, one a line or one a file, plain or gzip by their extension.
+
+    A file whose first line that is not blank is a whole JSON value holds records
+    by line, any other file is one record or one list of records. In a file by
+    line, a line that is no JSON gives a row of nulls.
+    """
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    probe = T.StructType([T.StructField("x", T.StringType()), T.StructField("bad", T.StringType())])
+    lines = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start").where((F.col("file_block_start") == 0) & (F.trim("value") != ""))
+    first = lines.withColumn("n", F.monotonically_increasing_id()).groupBy("file_path").agg(F.min_by("value", "n").alias("value"))
+    whole = F.from_json(F.concat(F.lit('{"x":'), "value", F.lit("}")), probe, {"columnNameOfCorruptRecord": "bad"})
+    kinds = first.select("file_path", whole["bad"].isNull().alias("by_line")).collect()  # one row a file
+    parts = []
+    for by_line in (True, False):
+        files = sorted(r["file_path"] for r in kinds if r["by_line"] == by_line)
+        if files:
+            parts.append(spark.read.schema(schema).option("multiLine", not by_line).json(files))
+    if not parts:
+        return spark.createDataFrame([], schema)
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def read_catalogue(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:

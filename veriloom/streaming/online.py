@@ -22,16 +22,25 @@ def lookup(queries: DataFrame, registry: DataFrame) -> DataFrame:
 
 
 def run_windows(spark: SparkSession, path: str) -> DataFrame:
-    """``windowed_rate`` over the rows of a Parquet table, read as a stream until its present end and written to the shared folder."""
+    """``windowed_rate`` over the rows of a Parquet table, read as a stream until its present end: every window, the one still open too.
+
+    Each batch writes the windows that it changed to the shared folder, under the
+    batch's number, so a repeated batch replaces itself; the last state counts.
+    """
     schema = spark.read.parquet(path).schema
     out = f"{workspace(spark)}/stream-{uuid.uuid4().hex[:10]}"
     # The source is a folder: one that holds the table, whether that is a file or a folder itself.
     folder, name = path.rsplit("/", 1)
     source = spark.readStream.schema(schema).option("pathGlobFilter", name if not _is_folder(spark, path) else "*.parquet").parquet(folder if not _is_folder(spark, path) else path)
     stream = source.withColumn("ts", F.col("ts").cast("timestamp"))
-    q = windowed_rate(stream).writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
+
+    def write(changed: DataFrame, batch: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{out}/batch={batch}")
+
+    q = windowed_rate(stream).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema("start timestamp, n bigint, errors bigint").parquet(out)
+    states = spark.read.schema("start timestamp, n bigint, errors bigint, batch bigint").parquet(out)
+    return states.groupBy("start").agg(F.max_by("n", "batch").alias("n"), F.max_by("errors", "batch").alias("errors"))
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:

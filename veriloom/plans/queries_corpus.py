@@ -396,12 +396,13 @@ def best_shift(spark: SparkSession, d: str) -> DataFrame:
     return s.withColumn("rn", F.row_number().over(best)).where(F.col("rn") == 1).select("g", F.col("shift").cast("bigint").alias("shift"), "dot")
 
 
-@query("STR2")
+@query("STR2", """SELECT date_trunc('hour', ts)::TIMESTAMP AS start, count(*) AS n, sum(coalesce((event_type = 'error')::INTEGER, 0))::BIGINT AS errors FROM events WHERE ts IS NOT NULL GROUP BY 1""")
 def stream_windows(spark: SparkSession, d: str) -> DataFrame:
     """Share of errors by hour of the event stream, computed by a stream with a watermark and read back."""
     from veriloom.streaming import online
 
-    return online.run_windows(spark, f"{d}/events.parquet")
+    w = online.run_windows(spark, f"{d}/events.parquet")
+    return w.select(F.col("start").cast("timestamp_ntz").alias("start"), "n", "errors")
 
 
 @query("LOC8 EDT3", r"""

@@ -67,7 +67,7 @@ def weighted_splits(groups: DataFrame, plan: list[tuple[str, float]], label: str
     """Assign whole groups to splits by their cumulative weight: (label, weight, split_name).
 
     Groups of over ``giant`` of the total weight come first, the heaviest ones
-    ahead, and the others follow in hash order; a group goes to the split in
+    ahead, and the others follow in the order of their labels' MD5; a group goes to the split in
     which its first unit of weight falls. ``plan`` has names and shares in order;
     the largest share comes first, so giants go there. Shares are scaled to
     their sum; an empty plan or one without positive shares is an error.
@@ -77,7 +77,7 @@ def weighted_splits(groups: DataFrame, plan: list[tuple[str, float]], label: str
         raise ValueError("a split plan needs a positive share")
     total = groups.agg(F.coalesce(F.sum(weight), F.lit(0)).alias("t")).first()["t"]
     big = F.when(F.col(weight) > giant * float(total), F.col(weight)).otherwise(F.lit(0))
-    keyed = groups.select(label, weight).withColumn("__big", big).withColumn("__h", F.xxhash64(F.col(label), F.lit(7)))
+    keyed = groups.select(label, weight).withColumn("__big", big).withColumn("__h", F.md5(F.col(label).cast("string")))
     cum = running_total(keyed, [], [F.col("__big").desc(), F.col("__h"), F.col(label)], weight, "__upto")
     start = (F.col("__upto") - F.col(weight)).cast("double")
     whole, upto, name = sum(p[1] for p in plan), 0.0, None
@@ -126,10 +126,12 @@ def edit_groups(edits: DataFrame, config_items: DataFrame) -> DataFrame:
 
 
 def edit_splits(edits: DataFrame, config_items: DataFrame, plan: list[tuple[str, float]]) -> DataFrame:
-    """(edit_id, split_name, label): every distinct edit with its split."""
+    """(edit_id, split_name, label): every distinct edit with its split. ``label`` is the smallest vertex among the edits of its group."""
     labelled = stage(edit_groups(edits, config_items), "labelled")
-    weights = labelled.groupBy("label").agg(F.count(F.lit(1)).alias("weight"))
-    return labelled.join(weighted_splits(weights, plan), "label").select("edit_id", "split_name", "label")
+    groups = stage(labelled.groupBy(F.col("label").alias("__label")).agg(F.count(F.lit(1)).alias("weight"), F.min("v").alias("label")), "groups")
+    splits = weighted_splits(groups, plan).select("label", "split_name")
+    named = groups.join(splits, "label").select("__label", "label", "split_name")
+    return labelled.withColumnRenamed("label", "__label").join(named, "__label").select("edit_id", "split_name", "label")
 
 
 def edit_group_sources(edits: DataFrame, config_items: DataFrame) -> DataFrame:

@@ -45,7 +45,7 @@ P3_INDEX = {"probes": 128, "occupancy": 128}
 def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """The five most similar others of every usable vector, however far."""
     spaces = similar.vector_spaces(table(spark, d, "methods"))
-    return similar.most_similar(table(spark, d, "descriptors_vec"), spaces, 5, [float("-inf")] * len(spaces), **P3_INDEX)
+    return similar.most_similar(table(spark, d, "descriptors_vec"), spaces, 5, [float("-inf")] * len(spaces), **P3_INDEX).withColumn("sim", F.when(F.abs("sim") < 5e-6, 0.0).otherwise(F.round("sim", 5)))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -94,29 +95,31 @@ class Automaton:
 
     def track(self, sequence: list[str]) -> tuple[list[int], list[int], list[int]]:
         """(positions, lengths, numbers) of the words that end a match of ``least`` words or more: its greatest length, and the number of its last ``least`` words."""
-        get, nexts, link, length, top, least = self.ids.get, self.nexts, self.link, self.length, self.top, self.least
+        nexts, link, length, top, least = self.nexts, self.link, self.length, self.top, self.least
         at: list[int] = []
         size: list[int] = []
         number: list[int] = []
+        add_at, add_size, add_number = at.append, size.append, number.append
         s = n = 0
-        for i, word in enumerate(sequence):
-            w = get(word, -1)
-            if w < 0:
+        for i, w in enumerate(map(self.ids.get, sequence)):
+            if w is None:
                 s = n = 0
                 continue
             t = nexts[s].get(w)
-            while t is None and s > 0:
-                s = link[s]
-                n = length[s]
-                t = nexts[s].get(w)
             if t is None:
-                continue
+                while t is None and s > 0:
+                    s = link[s]
+                    t = nexts[s].get(w)
+                if t is None:
+                    n = 0
+                    continue
+                n = length[s]
             s = t
             n += 1
             if n >= least:
-                at.append(i)
-                size.append(n)
-                number.append(top[s])
+                add_at(i)
+                add_size(n)
+                add_number(top[s])
         return at, size, number
 
 
@@ -158,6 +161,13 @@ def common_words(text: list[str], item: list[str], least: int) -> list[tuple[int
     return [(p, q) for p, w in enumerate(zip(*[text[x:] for x in range(least)], strict=False)) for q in at.get(w, ())]
 
 
+def backed(runs: list[tuple[int, int, int]], wanted: int, settings: Settings) -> list[tuple[int, int, int]]:
+    """The runs that are longer than ``toll``, hold all ``wanted`` words, or have another run within ``shift`` of their offset."""
+    offsets = sorted(p - q for p, q, _ in runs)
+    near = {o for o, before, after in zip(offsets, [None, *offsets], [*offsets[1:], None], strict=False) if (before is not None and o - before <= settings.shift) or (after is not None and after - o <= settings.shift)}
+    return [r for r in runs if r[2] > settings.toll or r[2] >= wanted or r[0] - r[1] in near]
+
+
 def longest_runs(hits: list[tuple[int, int]], least: int) -> list[tuple[int, int, int]]:
     """(start in the text, start in the item, words) of the longest common runs that ``hits`` make up, in order."""
     going: dict[int, list[int]] = {}
@@ -175,7 +185,8 @@ def longest_runs(hits: list[tuple[int, int]], least: int) -> list[tuple[int, int
 def chained(text: list[str], item: list[str], settings: Settings, hits: list[tuple[int, int]] | None = None) -> tuple[int, int, list[tuple[int, int]]]:
     """Words of ``item`` covered by the best chain of common runs, those of them in runs, and the chain's parts (first, end) of ``text``.
 
-    The runs follow each other in both sequences, with at most ``gap`` other
+    A run of at most ``toll`` words with no other one on about its offset is left
+    out. The runs follow each other in both sequences, with at most ``gap`` other
     words of the text between two of them, and the text's part exceeds the item's
     by at most ``Settings.room``. Equal words between two
     runs of which the second stands where the first would go on, at most
@@ -185,6 +196,7 @@ def chained(text: list[str], item: list[str], settings: Settings, hits: list[tup
     """
     least = settings.least
     runs = longest_runs(common_words(text, item, least) if hits is None else hits, least)
+    runs = backed(runs, math.ceil(settings.share * len(item) - 1e-9), settings)
     gap, room = settings.gap, settings.room(len(item))
     longest = max((n for _, _, n in runs), default=0)
     # Of the best chain ending in each run: its value, words, words in runs, start in the text and item, and the run before.
@@ -270,44 +282,54 @@ class Finder:
         kept = [[(i, q) for i, q in zip(h, where, strict=True) if not (c and spared[i])] for h, where, c in zip(holders, places, common.tolist(), strict=True)]
         self.starts = np.concatenate([[0], np.cumsum([len(h) for h in kept])]).astype(np.int64)
         flat = np.array([x for h in kept for x in h], dtype=np.int64).reshape(-1, 2)
+        self.spared = spared
+        self.slack = np.where((self.wanted <= settings.toll) | (settings.toll < m), 1 << 40, settings.shift)  # offsets within which a hit must have another one
         self.flat, self.place = np.ascontiguousarray(flat[:, 0]), np.ascontiguousarray(flat[:, 1])
 
-    def candidates(self, tracked: list[tuple[list[int], list[int], list[int]]]) -> Iterator[tuple[int, int]]:
-        """(text, item) of the texts with enough credit for an item within the width of a chain."""
+    def candidates(self, tracked: list[tuple[list[int], list[int], list[int]]]) -> Iterator[tuple[int, int, list[tuple[int, int]] | None]]:
+        """(text, item, hits) of the texts with enough credit for an item: hits are those of ``common_words`` that a chain can use, None if not all are known."""
         many = len(self.items)
         if not many or not any(a for a, _, _ in tracked):
             return
         text = np.repeat(np.arange(len(tracked)), [len(a) for a, _, _ in tracked])
         at = np.concatenate([np.array(a, dtype=np.int64) for a, _, _ in tracked])
         number = np.concatenate([np.array(g, dtype=np.int64) for _, _, g in tracked])
-        times = self.starts[number + 1] - self.starts[number]
+        starts = self.starts[number]
+        times = self.starts[number + 1] - starts
         row = np.repeat(np.arange(len(at)), times)
-        entry = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times) + self.starts[number][row]
+        entry = np.arange(len(row)) + np.repeat(starts - np.cumsum(times) + times, times)
         item = self.flat[entry]
         pair = text[row] * many + item
         enough = np.flatnonzero(np.bincount(pair, minlength=len(tracked) * many)[pair] >= self.need[item])
-        enough = enough[np.argsort(pair[enough], kind="stable")]
-        pair, item, word, place = pair[enough], item[enough], at[row[enough]], self.place[entry[enough]]
-        # Enough credit within the width ...
-        upto = np.arange(len(pair)) + self.need[item] - 1
-        first = np.flatnonzero(upto < len(pair))
-        upto = upto[first]
-        close = (pair[upto] == pair[first]) & (word[upto] - word[first] <= self.width[item[first]])
-        good = np.unique(pair[first[close]])
-        # ... and enough different words of the item.
-        rank = np.searchsorted(good, pair)
-        there = np.flatnonzero(rank < len(good))
-        there = there[good[rank[there]] == pair[there]]
+        pair, item, word, place = pair[enough], item[enough], at[row[enough]] - self.settings.least + 1, self.place[entry[enough]]
         longest = max(map(len, self.items))
+        reach = longest + max(map(len, (a for a, _, _ in tracked))) + int(word.max(initial=0)) + 2
+        # Hits in the order of their offsets: those with another one near on the same text and item.
+        key = pair * (4 * reach) + (word - place + 2 * reach)
+        order = np.argsort(key)
+        key, pair, item, word, place = key[order], pair[order], item[order], word[order], place[order]
+        gap = np.diff(key, prepend=-(1 << 41), append=1 << 61)
+        alike = np.append(False, pair[1:] == pair[:-1])
+        slack = self.slack[item]
+        near = (alike & (gap[:-1] <= slack)) | (np.append(alike[1:], False) & (gap[1:] <= slack)) | (slack > 1 << 30)
+        pair, item, word, place = pair[near], item[near], word[near], place[near]
+        enough = np.bincount(pair, minlength=len(tracked) * many)[pair] >= self.need[item]
+        pair, item, word, place = pair[enough], item[enough], word[enough], place[enough]
+        if not len(pair):
+            return
+        # Enough different words of the item.
+        cut = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+        ends = np.append(cut[1:], len(pair))
+        rank = np.repeat(np.arange(len(cut)), ends - cut)
         step = max(1, 32_000_000 // longest)
-        for lo in range(0, len(good), step):
-            part = there[(rank[there] >= lo) & (rank[there] < lo + step)] if len(good) > step else there
-            seen = np.zeros((min(step, len(good) - lo), longest + 1), dtype=bool)
+        for lo in range(0, len(cut), step):
+            a, b = cut[lo], ends[min(lo + step, len(cut)) - 1]
+            seen = np.zeros((min(step, len(cut) - lo), longest + 1), dtype=bool)
             for x in range(self.settings.least):
-                seen[rank[part] - lo, place[part] + x] = True
-            of = good[lo : lo + step]
-            for x in of[seen.sum(1) >= self.least[of % many]].tolist():
-                yield x // many, x % many
+                seen[rank[a:b] - lo, place[a:b] + x] = True
+            for c in (lo + np.flatnonzero(seen.sum(1) >= self.least[item[cut[lo : lo + step]]])).tolist():
+                i, part = int(item[cut[c]]), slice(cut[c], ends[c])
+                yield int(pair[cut[c]]) // many, i, None if self.spared[i] else sorted(zip(word[part].tolist(), place[part].tolist(), strict=True))
 
     def find(self, texts: list[str | None]) -> Iterator[tuple[int, int, float, list[tuple[int, int]]]]:
         """(text, item, share covered, parts of the text's words) of the items that the texts hold."""
@@ -322,13 +344,21 @@ class Finder:
         half = int(self.width.max(initial=256))
         parts = [(r, lo) for r, w in enumerate(split) for lo in range(0, max(1, len(w) - half), half)]
         texts = [split[r][lo : lo + 2 * half] for r, lo in parts]
-        tracked = [self.automaton.track(w) for w in texts]
         back = s.least - 1
-        for x, i in self.candidates(tracked):
+        whole = [self.automaton.track(w) for w in split]
+        tracked = []
+        for r, lo in parts:
+            at, size, number = whole[r]
+            if lo or len(split[r]) > 2 * half:
+                a, b = bisect_left(at, lo + back), bisect_left(at, lo + 2 * half)
+                at, size, number = [p - lo for p in at[a:b]], size[a:b], number[a:b]
+            tracked.append((at, size, number))
+        for x, i, hits in self.candidates(tracked):
             r, lo = parts[x]
             item = self.items[i]
-            held = self.hits[i]
-            hits = [(p - back, q) for p, g in zip(tracked[x][0], tracked[x][2], strict=True) if g in held for q in held[g]]
+            if hits is None:
+                held = self.hits[i]
+                hits = [(p - back, q) for p, g in zip(tracked[x][0], tracked[x][2], strict=True) if g in held for q in held[g]]
             covered, inside, chain = chained(texts[x], item, s, hits)
             if covered >= self.wanted[i] and inside >= self.inside[i]:
                 yield r, i, covered / len(item), [(a + lo, b + lo) for a, b in chain]

@@ -50,7 +50,7 @@ _P3_SPACE = r"""
 {name}_v AS (SELECT DISTINCT d.method, item_id, vec::DOUBLE[{dim}] AS vec FROM descriptors_vec d JOIN methods m ON m.method = d.method
   WHERE d.method = '{name}' AND len(vec) = {dim} AND len(list_filter(vec, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND ({any_ok} OR len(list_filter(vec, lambda x: x <> 0)) > 0)),
 {name}_p AS (SELECT a.method, a.item_id AS a, b.item_id AS b, {sim} AS sim FROM {name}_v a JOIN {name}_v b ON a.item_id <> b.item_id),
-{name}_n AS (SELECT method, a, b, sim, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b)::INTEGER AS rank FROM {name}_p QUALIFY rank <= 5 AND sim >= {least})"""
+{name}_n AS (SELECT method, a, b, sim, row_number() OVER (PARTITION BY a ORDER BY round(sim, 9) DESC, b)::INTEGER AS rank FROM {name}_p QUALIFY rank <= 5 AND sim >= {least})"""
 
 
 def _p3(lists: bool = False) -> str:

@@ -380,6 +380,7 @@ def measured(pairs: DataFrame, rows: DataFrame, spaces: list[Space], least: list
                 else:
                     sim[at] = -np.sqrt(((a - b) ** 2).sum(1))
             keep = pa.array(sim >= low[space])
+            sim = np.round(sim, 9) + 0.0  # equal to nine decimals is equal, and then the key decides
             columns = [batch.column(c) for c in ("space", "a", "b", "a_sides", "b_sides")]
             yield pa.RecordBatch.from_arrays([c.filter(keep) for c in [*columns, pa.array(sim)]], names)
 

@@ -28,6 +28,28 @@ def descending_statistic(rows: DataFrame, groups: list[str], score: str, ranks:
     return ranks.join(hit.select(*groups, rank, F.col("__score").alias("value")).distinct(), [*groups, rank], "left")
 
 
+def quantiles(rows: DataFrame, groups: list[str], score: str, shares: dict[str, float]) -> DataFrame:
+    """(groups, n, one column for each of ``shares``): quantiles of the non-null scores of each group, linear between neighbours.
+
+    Distinct scores with their frequencies are summed over range partitions, so no
+    task holds a group. A null group is a group; one without scores has no row.
+    """
+    freq = rows.where(F.col(score).isNotNull()).groupBy(*groups, F.col(score).cast("double").alias("__score")).agg(F.count(F.lit(1)).alias("__f"))
+    cum = running_total(freq, groups, [F.col("__score")], "__f", "__upto")
+    size = cum.groupBy(*[F.col(g).alias(f"__{g}") for g in groups]).agg(F.max("__upto").alias("__n"))
+    same = F.lit(True)
+    for g in groups:
+        same = same & F.col(g).eqNullSafe(F.col(f"__{g}"))
+    both = cum.join(size, same)
+    holds = lambda at: F.max(F.when((F.col("__upto") > at) & (F.col("__upto") - F.col("__f") <= at), F.col("__score")))
+    aggs = [F.max("__n").alias("n")]
+    for name, share in shares.items():
+        at = F.lit(float(share)) * (F.col("__n") - 1)
+        aggs += [holds(F.floor(at)).alias(f"__lo_{name}"), holds(F.ceil(at)).alias(f"__hi_{name}"), F.max(at - F.floor(at)).alias(f"__by_{name}")]
+    out = both.groupBy(*groups).agg(*aggs)
+    return out.select(*groups, "n", *[(F.col(f"__lo_{c}") + (F.col(f"__hi_{c}") - F.col(f"__lo_{c}")) * F.col(f"__by_{c}")).alias(c) for c in shares])
+
+
 def query_thresholds(top1: DataFrame, targets: list[float], group: str = "method", score: str = "score") -> DataFrame:
     """(group, target, n, k, threshold, resolved): thresholds that a share ``target`` of the negative queries exceeds.
 

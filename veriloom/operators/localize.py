@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from veriloom.operators import calibrate
 from veriloom.plans.prefix import running_total
 
 
@@ -98,7 +99,12 @@ def error_summary(rows: DataFrame, group: list[str], error: str) -> DataFrame:
     """(group, median_error, within_half, within_1, within_2, n) of absolute errors; nulls count as outside."""
     e = F.abs(F.col(error))
     inside = lambda c: F.avg(F.coalesce((e <= c).cast("int"), F.lit(0)))
-    return rows.groupBy(*group).agg(F.median(e).alias("median_error"), inside(0.5).alias("within_half"), inside(1.0).alias("within_1"), inside(2.0).alias("within_2"), F.count(F.lit(1)).alias("n"))
+    middle = calibrate.quantiles(rows.select(*group, e.alias("__e")), group, "__e", {"median_error": 0.5})
+    shares = rows.groupBy(*[F.col(g).alias(f"_{g}") for g in group]).agg(inside(0.5).alias("within_half"), inside(1.0).alias("within_1"), inside(2.0).alias("within_2"), F.count(F.lit(1)).alias("n"))
+    same = F.lit(True)
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"_{g}"))
+    return shares.join(middle.drop("n"), same, "left").select(*[F.col(f"_{g}").alias(g) for g in group], "median_error", "within_half", "within_1", "within_2", "n")
 
 
 def token_difference(pairs: DataFrame, key: str, a: str, b: str, around: int = 2) -> DataFrame:

@@ -91,12 +91,17 @@ def _size(rows: DataFrame, key: str) -> tuple[int, int]:
 
 def _blocks(queries: DataFrame, refs: DataFrame, metric: str, dim: int, k: int | None, least: float | None, n_queries: int | None = None, n_refs: int | None = None) -> DataFrame:
     """``queries`` (query_id, query) against ``refs`` (ref_id, ref), both not null and of equal lengths."""
+    schema = f"query_id {dict(queries.dtypes)['query_id']}, ref_id {dict(refs.dtypes)['ref_id']}, score double"
+    return _pairs_of_blocks(queries, refs, n_queries, n_refs).applyInArrow(_kernel(metric, dim, k, least), schema)
+
+
+def _pairs_of_blocks(queries: DataFrame, refs: DataFrame, n_queries: int | None = None, n_refs: int | None = None):  # noqa: ANN202
+    """Chunks of queries grouped with blocks of references, each pair of them once."""
     n_blocks = max(1, math.ceil((refs.count() if n_refs is None else n_refs) / BLOCK_ROWS))
     n_chunks = max(1, math.ceil((queries.count() if n_queries is None else n_queries) / CHUNK_ROWS))
     q = queries.withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.lit(n_chunks))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
     r = refs.withColumn("block", F.pmod(F.xxhash64("ref_id"), F.lit(n_blocks)).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_chunks - 1).cast("bigint"))))
-    schema = f"query_id {dict(queries.dtypes)['query_id']}, ref_id {dict(refs.dtypes)['ref_id']}, score double"
-    return q.groupBy("block", "chunk").cogroup(r.groupBy("block", "chunk")).applyInArrow(_kernel(metric, dim, k, least), schema)
+    return q.groupBy("block", "chunk").cogroup(r.groupBy("block", "chunk"))
 
 
 def top_k(queries: DataFrame, refs: DataFrame, k: int, metric: str, dim: int) -> DataFrame:
@@ -117,6 +122,61 @@ def top_k(queries: DataFrame, refs: DataFrame, k: int, metric: str, dim: int) ->
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "ref_id", "score")
 
 
+def count_above(queries: DataFrame, refs: DataFrame, bar: str, metric: str, dim: int) -> DataFrame:
+    """(query_id, n): how many references score above each query's ``bar``, counted where they are compared.
+
+    ``queries`` has one row for each query_id. Null ids, vectors and bars take no
+    part; without references there are no rows.
+    """
+    q = queries.where(F.col("query_id").isNotNull() & F.col("query").isNotNull() & F.col(bar).isNotNull()).select("query_id", "query", F.col(bar).cast("double").alias("bar"))
+    r = refs.where(F.col("ref_id").isNotNull() & F.col("ref").isNotNull())
+    kind = np.int64 if metric == "hamming" else np.float64
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left) or not len(right):
+            return pa.Table.from_arrays([left.column("query_id").slice(0, 0), pa.array([], pa.int64())], ["query_id", "n"])
+        x, y = np.ascontiguousarray(_matrix(left.column("query"), kind)), np.ascontiguousarray(_matrix(right.column("ref"), kind))
+        at = left.column("bar").to_numpy()
+        step = max(1, 4_000_000 // len(y))
+        n = np.concatenate([(scores(x[lo : lo + step], y, metric, dim) > at[lo : lo + step, None]).sum(1) for lo in range(0, len(x), step)])
+        return pa.Table.from_arrays([left.column("query_id"), pa.array(n.astype(np.int64))], ["query_id", "n"])
+
+    found = _pairs_of_blocks(q, r).applyInArrow(run, f"query_id {dict(q.dtypes)['query_id']}, n bigint")
+    return found.groupBy("query_id").agg(F.sum("n").alias("n"))
+
+
+def scored_pairs(queries: DataFrame, refs: DataFrame, scorer: Callable[[np.ndarray, np.ndarray], np.ndarray], k: int) -> DataFrame:
+    """(query_id, rank, ref_id, score): the ``k`` best references of each query under an external ``scorer``.
+
+    ``scorer`` gets two matrices and gives the scores of all rows of the one with
+    all rows of the other, as a tool that compares two media does. Equal scores
+    are ordered by ref_id. Null ids and vectors take no part.
+    """
+    q = queries.where(F.col("query_id").isNotNull() & F.col("query").isNotNull())
+    r = refs.where(F.col("ref_id").isNotNull() & F.col("ref").isNotNull())
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        names = ["query_id", "ref_id", "score"]
+        if not len(left) or not len(right):
+            return pa.Table.from_arrays([left.column("query_id").slice(0, 0), right.column("ref_id").slice(0, 0), pa.array([], pa.float64())], names)
+        right = right.sort_by("ref_id")
+        x, y = _matrix(left.column("query"), np.float64), _matrix(right.column("ref"), np.float64)
+        step = max(1, 1_000_000 // len(y))
+        at, to, val = [], [], []
+        for lo in range(0, len(x), step):
+            s = np.round(np.asarray(scorer(x[lo : lo + step], y), dtype=np.float64), 9)
+            best = np.argsort(-s, axis=1, kind="stable")[:, :k]
+            at.append(np.repeat(np.arange(len(s)) + lo, best.shape[1]))
+            to.append(best.ravel())
+            val.append(np.take_along_axis(s, best, 1).ravel())
+        return pa.Table.from_arrays([left.column("query_id").take(pa.array(np.concatenate(at))), right.column("ref_id").take(pa.array(np.concatenate(to))), pa.array(np.concatenate(val))], names)
+
+    schema = f"query_id {dict(q.dtypes)['query_id']}, ref_id {dict(r.dtypes)['ref_id']}, score double"
+    found = _pairs_of_blocks(q, r).applyInArrow(run, schema).groupBy("query_id", "ref_id").agg(F.max("score").alias("score"))
+    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "ref_id")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "ref_id", "score")
+
+
 def within(queries: DataFrame, refs: DataFrame, least: float, metric: str, dim: int) -> DataFrame:
     """(query_id, ref_id, score): pairs with a score of at least ``least``, each once with its best score; an id does not match itself."""
     queries = queries.where(F.col("query_id").isNotNull() & F.col("query").isNotNull())

@@ -40,9 +40,14 @@ def transformed(v: np.ndarray, attack: np.ndarray) -> np.ndarray:
     return retrieval.unit(out)
 
 
+def flagged(spark: SparkSession, d: str, set_name: str) -> DataFrame:
+    """The items of a set that an earlier cleanup marked as near-duplicates."""
+    return table(spark, d, "set_membership").where((F.col("set_name") == set_name) & F.col("flagged") & F.col("item_id").isNotNull()).select("item_id").distinct()
+
+
 def references(spark: SparkSession, d: str) -> DataFrame:
-    """(ref_id, ref) of the registered and distractor items, of unit length."""
-    v = usable_vectors(spark, d, VECTOR_METHOD, VECTOR_DIM)
+    """(ref_id, ref) of the registered items and of the distractors that no earlier cleanup flagged, of unit length."""
+    v = retrieval.without(usable_vectors(spark, d, VECTOR_METHOD, VECTOR_DIM), flagged(spark, d, "dist"), "item_id")
     return v.where(F.col("set_name").isin("reg", "dist")).select(F.col("item_id").alias("ref_id"), retrieval.normalised(F.col("v")).alias("ref"))
 
 
@@ -68,7 +73,7 @@ v0 AS (SELECT DISTINCT set_name, item_id, vec FROM descriptors_vec WHERE method
        AND len(list_filter(vec, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(vec, lambda x: x <> 0)) > 0),
 v1 AS (SELECT set_name, item_id, list_transform(vec, lambda x: x::DOUBLE) AS v FROM v0),
 v AS (SELECT set_name, item_id, list_transform(v, lambda x: x / greatest(sqrt(list_dot_product(v, v)), 1e-12)) AS v FROM v1),
-refs AS (SELECT item_id AS ref_id, v AS ref FROM v WHERE set_name IN ('reg', 'dist')),
+refs AS (SELECT item_id AS ref_id, v AS ref FROM v WHERE set_name IN ('reg', 'dist') AND item_id NOT IN (SELECT item_id FROM set_membership WHERE set_name = 'dist' AND flagged AND item_id IS NOT NULL)),
 att(attack, family) AS (VALUES ('none', 'none'), ('trunc', 'crop'), ('quant', 'compression'), ('noise', 'photometric'), ('flip', 'geometric'), ('chain', 'chain')),
 raw AS (SELECT item_id AS source_id, set_name = 'reg' AS positive, attack, family,
   CASE attack WHEN 'trunc' THEN list_transform(v, lambda x, i: CASE WHEN i <= 48 THEN x ELSE 0.0 END) WHEN 'quant' THEN list_transform(v, lambda x: round(x, 1))

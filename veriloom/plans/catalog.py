@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veriloom.plans import queries_calibration, queries_corpus, queries_nested, queries_payload, queries_retrieval
+from veriloom.plans import queries_calibration, queries_corpus, queries_nested, queries_payload, queries_reports, queries_retrieval
 from veriloom.plans.registry import ENTRIES, Query
 
-MODULES = (queries_nested, queries_retrieval, queries_calibration, queries_corpus, queries_payload)  # importing them registers their queries
+MODULES = (queries_nested, queries_retrieval, queries_calibration, queries_corpus, queries_payload, queries_reports)  # importing them registers their queries
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

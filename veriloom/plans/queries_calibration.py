@@ -56,14 +56,14 @@ def negative_pair_thresholds(spark: SparkSession, d: str) -> DataFrame:
     return _pair_thresholds(spark, d).withColumn("threshold", F.round("threshold", 6))
 
 
-@query("AGG3 AGG10 AGG11", THR_SQL + """
-SELECT r.method, CASE WHEN grouping(attack) = 0 THEN coalesce(attack, 'missing') ELSE '_all' END AS attack, count(*) AS n, sum((top1 >= threshold)::INTEGER)::BIGINT AS hits, round(sum((top1 >= threshold)::INTEGER) / greatest(1, count(*)), 6) AS fpr
-FROM rec r JOIN thr ON thr.method = r.method AND target = 0.1 AND resolved WHERE NOT cal GROUP BY GROUPING SETS ((r.method, attack), (r.method))""")
+@query("AGG3 AGG11", THR_SQL + """
+SELECT r.method, target, CASE WHEN grouping(attack) = 0 THEN coalesce(attack, 'missing') ELSE '_all' END AS attack, count(*) AS n, sum((top1 >= threshold)::INTEGER)::BIGINT AS hits, round(sum((top1 >= threshold)::INTEGER) / greatest(1, count(*)), 6) AS fpr
+FROM rec r JOIN thr ON thr.method = r.method AND resolved WHERE NOT cal GROUP BY GROUPING SETS ((r.method, target, attack), (r.method, target))""")
 def heldout_fpr(spark: SparkSession, d: str) -> DataFrame:
-    t = _query_thresholds(spark, d).where((F.col("target") == TARGETS[0]) & F.col("resolved")).select("method", "threshold")
+    t = _query_thresholds(spark, d).where("resolved").select("method", "target", "threshold")
     r = negative_records(spark, d).where(~F.col("cal")).withColumn("attack", F.coalesce("attack", F.lit("missing"))).join(t, "method")
-    out = r.groupingSets([[F.col("method"), F.col("attack")], [F.col("method")]], F.col("method"), F.col("attack")).agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("top1") >= F.col("threshold")).cast("bigint")).alias("hits"), F.grouping("attack").alias("g"))
-    return out.select("method", F.when(F.col("g") == 1, evaluate.ALL).otherwise(F.col("attack")).alias("attack"), "n", "hits", F.round(evaluate.over_max1(F.col("hits"), F.col("n")), 6).alias("fpr"))
+    out = r.groupingSets([[F.col("method"), F.col("target"), F.col("attack")], [F.col("method"), F.col("target")]], F.col("method"), F.col("target"), F.col("attack")).agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("top1") >= F.col("threshold")).cast("bigint")).alias("hits"), F.grouping("attack").alias("g"))
+    return out.select("method", "target", F.when(F.col("g") == 1, evaluate.ALL).otherwise(F.col("attack")).alias("attack"), "n", "hits", F.round(evaluate.over_max1(F.col("hits"), F.col("n")), 6).alias("fpr"))
 
 
 @query("AGG4 AGG5 RPT9")
@@ -87,13 +87,13 @@ def resolvability_guard(spark: SparkSession, d: str) -> DataFrame:
     return calibrate.resolvable(t.withColumn("one", F.lit(1.0)).withColumn("n", n), "one", "n", "thr").select("method", "target", "k", "consistent")
 
 
-@query("CAL5 CAL6", PAIR_SQL + """,
+@query("CAL5", PAIR_SQL + """,
 q AS (SELECT method, quantile_cont(top1, 0.999) AS q FROM rec WHERE cal GROUP BY method),
 c0 AS (SELECT method, top1, row_number() OVER (PARTITION BY method ORDER BY top1 DESC) - 1 AS pos, count(*) OVER (PARTITION BY method) AS n FROM rec WHERE cal),
 l AS (SELECT method, top1 + 1e-6 AS loose FROM c0 WHERE pos = floor(0.01::DOUBLE * n)::BIGINT AND floor(0.01::DOUBLE * n) >= 5)
 SELECT q.method, round(coalesce(thr.threshold, loose, q + 1e-6), 6) AS threshold FROM q LEFT JOIN thr ON thr.method = q.method AND target = 1e-5 LEFT JOIN l ON l.method = q.method""")
 def threshold_fallback(spark: SparkSession, d: str) -> DataFrame:
-    q = negative_records(spark, d).where("cal").groupBy("method").agg(F.percentile("top1", 0.999).alias("q"))
+    q = calibrate.quantiles(negative_records(spark, d).where("cal"), ["method"], "top1", {"q": 0.999}).drop("n")
     strict = _pair_thresholds(spark, d).where(F.col("target") == PAIR_TARGETS[2]).select("method", F.col("threshold").alias("strict"))
     loose = _query_thresholds(spark, d).where(F.col("target") == TARGETS[1]).select("method", F.col("threshold").alias("loose"))
     return q.join(strict, "method", "left").join(loose, "method", "left").select("method", F.round(calibrate.fallback_threshold(F.col("strict"), F.col("loose"), F.col("q")), 6).alias("threshold"))
@@ -111,9 +111,9 @@ def verification_k(spark: SparkSession, d: str) -> DataFrame:
 
 @query("AGG7", R + "SELECT method, round(quantile_cont(top1, 0.05), 6) AS p05, round(quantile_cont(top1, 0.25), 6) AS p25, round(median(top1), 6) AS p50, round(quantile_cont(top1, 0.75), 6) AS p75, round(quantile_cont(top1, 0.95), 6) AS p95, count(*) AS n FROM rec GROUP BY method")
 def score_quantiles(spark: SparkSession, d: str) -> DataFrame:
-    q = F.percentile("top1", F.array(*[F.lit(x) for x in (0.05, 0.25, 0.5, 0.75, 0.95)]))
-    r = negative_records(spark, d).groupBy("method").agg(q.alias("q"), F.count(F.lit(1)).alias("n"))
-    return r.select("method", *[F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("p05", "p25", "p50", "p75", "p95"))], "n")
+    shares = {"p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
+    r = calibrate.quantiles(negative_records(spark, d), ["method"], "top1", shares)
+    return r.select("method", *[F.round(c, 6).alias(c) for c in shares], "n")
 
 
 @query("AGG7 RPT17", R + """, x AS (SELECT method, min(top1) AS lo, max(top1) AS hi FROM rec GROUP BY method),
@@ -127,25 +127,21 @@ def negative_histogram(spark: SparkSession, d: str) -> DataFrame:
 PAIRED_SQL = R + """,
 med AS (SELECT method, median(top1) AS m FROM rec GROUP BY method),
 o AS (SELECT method, source_id, attack, max((top1 >= m)::INTEGER) AS ok, avg(top1) AS top1 FROM rec JOIN med USING (method) WHERE source_id IS NOT NULL AND attack IS NOT NULL GROUP BY ALL),
-chosen(method) AS (VALUES ('PDQ'), ('pHash-64'), ('dHash-64'), ('aHash-64')),
-pr AS (SELECT a.method AS m1, b.method AS m2, a.source_id, a.ok AS ok1, b.ok AS ok2, a.top1 AS s1, b.top1 AS s2 FROM o a JOIN o b ON a.source_id = b.source_id AND a.attack = b.attack AND a.method < b.method WHERE a.method IN (FROM chosen) AND b.method IN (FROM chosen)),
+pr AS (SELECT a.method AS m1, b.method AS m2, a.source_id, a.ok AS ok1, b.ok AS ok2, a.top1 AS s1, b.top1 AS s2 FROM o a JOIN o b ON a.source_id = b.source_id AND a.attack = b.attack AND a.method < b.method),
 bc AS (SELECT m1, m2, sum((ok1 > ok2)::INTEGER)::BIGINT AS b, sum((ok2 > ok1)::INTEGER)::BIGINT AS c FROM pr GROUP BY ALL)
 """
-#: The methods that the SQL above pairs; the queries with ``_all`` and paired_tests pair all methods.
-CHOSEN = ("PDQ", "pHash-64", "dHash-64", "aHash-64")
 
 
-def _outcomes(spark: SparkSession, d: str, methods: tuple[str, ...] | None) -> DataFrame:
+def _outcomes(spark: SparkSession, d: str) -> DataFrame:
     r = negative_records(spark, d)
-    med = r.groupBy("method").agg(F.median("top1").alias("m"))
+    med = calibrate.quantiles(r, ["method"], "top1", {"m": 0.5}).drop("n")
     r = r.join(med, "method").where(F.col("source_id").isNotNull() & F.col("attack").isNotNull())
-    if methods:
-        r = r.where(F.col("method").isin(*methods))
     return r.groupBy("method", "source_id", "attack").agg(F.max((F.col("top1") >= F.col("m")).cast("int")).alias("ok"), F.avg("top1").alias("top1"))
 
 
-def _paired(spark: SparkSession, d: str, methods: tuple[str, ...] | None = None) -> DataFrame:
-    o = _outcomes(spark, d, methods)
+def _paired(spark: SparkSession, d: str) -> DataFrame:
+    """Outcomes of all pairs of methods on the same source and transformation."""
+    o = _outcomes(spark, d)
     a = o.select(F.col("method").alias("m1"), "source_id", "attack", F.col("ok").alias("ok1"), F.col("top1").alias("s1"))
     b = o.select(F.col("method").alias("m2"), "source_id", "attack", F.col("ok").alias("ok2"), F.col("top1").alias("s2"))
     return a.join(b, ["source_id", "attack"]).where(F.col("m1") < F.col("m2"))
@@ -154,15 +150,10 @@ def _paired(spark: SparkSession, d: str, methods: tuple[str, ...] | None = None)
 @query("INF5 INF6 RPT4", PAIRED_SQL + """,
 i AS (SELECT m1, m2, b, c, b + c AS n, unnest(range(greatest(b, c), b + c + 1)) AS i FROM bc),
 p AS (SELECT m1, m2, b, c, CASE WHEN b + c = 0 THEN 1 ELSE least(1, 2 * sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2)))) END AS p FROM i GROUP BY m1, m2, b, c),
-h AS (SELECT *, row_number() OVER (ORDER BY p, m1, m2) AS rn, count(*) OVER () AS m FROM p)
+h AS (SELECT * EXCLUDE (p), round(p, 9) AS p, row_number() OVER (ORDER BY round(p, 9), m1, m2) AS rn, count(*) OVER () AS m FROM p)
 SELECT m1, m2, b, c, round(p, 6) AS p, round(max(least(1, (m - rn + 1) * p)) OVER (ORDER BY p, m1, m2 ROWS UNBOUNDED PRECEDING), 6) AS holm FROM h""")
 def mcnemar_holm(spark: SparkSession, d: str) -> DataFrame:
-    return _mcnemar(_paired(spark, d, CHOSEN))
-
-
-@query("INF5 INF6 RPT4")
-def mcnemar_holm_all(spark: SparkSession, d: str) -> DataFrame:
-    """As mcnemar_holm, over all pairs of methods as one family."""
+    """Over all pairs of methods as one family."""
     return _mcnemar(_paired(spark, d))
 
 
@@ -172,7 +163,7 @@ def _mcnemar(pairs: DataFrame) -> DataFrame:
         return pd.Series([stats.mcnemar(int(x), int(y)) for x, y in zip(b, c, strict=True)], dtype="float64")
 
     bc = pairs.groupBy("m1", "m2").agg(F.sum((F.col("ok1") > F.col("ok2")).cast("bigint")).alias("b"), F.sum((F.col("ok2") > F.col("ok1")).cast("bigint")).alias("c"))
-    t = bc.withColumn("p", exact("b", "c"))
+    t = bc.withColumn("p", F.round(exact("b", "c"), 9))
     order = Window.partitionBy(F.lit(0)).orderBy("p", "m1", "m2")  # one row for each pair of methods
     t = t.withColumn("rn", F.row_number().over(order)).withColumn("m", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))
     adjusted = F.max(F.least(F.lit(1.0), (F.col("m") - F.col("rn") + 1) * F.col("p"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
@@ -184,12 +175,6 @@ dd AS (SELECT m1, m2, source_id, round(avg(s1) - avg(s2), 9) AS d FROM pr GROUP
 r AS (SELECT *, rank() OVER (PARTITION BY m1, m2 ORDER BY abs(d)) + (count(*) OVER (PARTITION BY m1, m2, abs(d)) - 1) / 2.0 AS rk FROM dd WHERE d <> 0)
 SELECT m1, m2, count(*) AS n, round(least(coalesce(sum(rk) FILTER (WHERE d > 0), 0), coalesce(sum(rk) FILTER (WHERE d < 0), 0)), 6)::DOUBLE AS w FROM r GROUP BY ALL""")
 def wilcoxon_statistic(spark: SparkSession, d: str) -> DataFrame:
-    return _wilcoxon(_paired(spark, d, CHOSEN))
-
-
-@query("INF7 JOI20")
-def wilcoxon_statistic_all(spark: SparkSession, d: str) -> DataFrame:
-    """As wilcoxon_statistic, over all pairs of methods."""
     return _wilcoxon(_paired(spark, d))
 
 
@@ -265,32 +250,32 @@ def midrank_cdf_fusion(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("AGG17 AGG18 SEC5", R + """,
-m AS (SELECT source_id, attack, max(top1) AS top1 FROM rec WHERE method = 'PDQ' AND source_id IS NOT NULL AND attack IS NOT NULL GROUP BY ALL),
-o AS (SELECT source_id, top1, row_number() OVER (PARTITION BY source_id ORDER BY attack) AS ord FROM m),
-b AS (SELECT source_id, min(ord) FILTER (WHERE top1 < 0.6) AS broke FROM o GROUP BY source_id),
-r AS (SELECT broke, row_number() OVER (ORDER BY broke NULLS LAST, source_id) AS rn, count(*) OVER () AS n FROM b)
-SELECT CASE WHEN broke IS NULL THEN '>grid' ELSE broke::VARCHAR END AS median_break, n FROM r WHERE rn = floor(n / 2) + 1""")
+m AS (SELECT method, source_id, attack, max(top1) AS top1 FROM rec WHERE source_id IS NOT NULL AND attack IS NOT NULL GROUP BY ALL),
+o AS (SELECT method, source_id, top1, row_number() OVER (PARTITION BY method, source_id ORDER BY attack) AS ord FROM m),
+b AS (SELECT method, source_id, min(ord) FILTER (WHERE top1 < 0.6) AS broke FROM o GROUP BY ALL),
+r AS (SELECT method, broke, row_number() OVER (PARTITION BY method ORDER BY broke NULLS LAST, source_id) AS rn, count(*) OVER (PARTITION BY method) AS n FROM b)
+SELECT method, CASE WHEN broke IS NULL THEN '>grid' ELSE broke::VARCHAR END AS median_break, n FROM r WHERE rn = floor(n / 2) + 1""")
 def median_break(spark: SparkSession, d: str) -> DataFrame:
     """Upper median over sources of the first transformation, in name order, at which the score falls under 0.6."""
     from veriloom.plans.prefix import running_total
 
-    m = negative_records(spark, d).where((F.col("method") == "PDQ") & F.col("source_id").isNotNull() & F.col("attack").isNotNull()).groupBy("source_id", "attack").agg(F.max("top1").alias("top1"))
-    o = m.withColumn("ord", F.row_number().over(Window.partitionBy("source_id").orderBy("attack")))
-    b = o.groupBy("source_id").agg(F.min(F.when(F.col("top1") < 0.6, F.col("ord"))).alias("broke")).withColumn("one", F.lit(1))
-    r = running_total(b, [], [F.col("broke").asc_nulls_last(), F.col("source_id")], "one", "rn")
-    n = r.agg(F.count(F.lit(1)).alias("n"))  # one row
-    return r.crossJoin(n).where(F.col("rn") == F.floor(F.col("n") / 2) + 1).select(F.coalesce(F.col("broke").cast("string"), F.lit(">grid")).alias("median_break"), "n")
+    m = negative_records(spark, d).where(F.col("source_id").isNotNull() & F.col("attack").isNotNull()).groupBy("method", "source_id", "attack").agg(F.max("top1").alias("top1"))
+    o = m.withColumn("ord", F.row_number().over(Window.partitionBy("method", "source_id").orderBy("attack")))
+    b = o.groupBy("method", "source_id").agg(F.min(F.when(F.col("top1") < 0.6, F.col("ord"))).alias("broke")).withColumn("one", F.lit(1))
+    r = running_total(b, ["method"], [F.col("broke").asc_nulls_last(), F.col("source_id")], "one", "rn")
+    n = r.groupBy("method").agg(F.count(F.lit(1)).alias("n"))
+    return r.join(n, "method").where(F.col("rn") == F.floor(F.col("n") / 2) + 1).select("method", F.coalesce(F.col("broke").cast("string"), F.lit(">grid")).alias("median_break"), "n")
 
 
-@query("AGG23 RPT7", THR_SQL + "SELECT r.method, count(*) AS n, round(avg((top1 - 0.05 < threshold)::INTEGER), 6) AS success FROM rec r JOIN thr ON thr.method = r.method AND target = 0.1 AND resolved WHERE top1 >= threshold GROUP BY r.method")
+@query("AGG23 RPT7", THR_SQL + "SELECT r.method, target, count(*) AS n, round(avg((top1 - 0.05 < threshold)::INTEGER), 6) AS success FROM rec r JOIN thr ON thr.method = r.method AND resolved WHERE top1 >= threshold GROUP BY r.method, target")
 def rescore(spark: SparkSession, d: str) -> DataFrame:
     """Share of accepted scores that a loss of 0.05 would reject."""
-    t = _query_thresholds(spark, d).where((F.col("target") == TARGETS[0]) & F.col("resolved")).select("method", "threshold")
+    t = _query_thresholds(spark, d).where("resolved").select("method", "target", "threshold")
     r = negative_records(spark, d).join(t, "method").where(F.col("top1") >= F.col("threshold"))
-    return r.groupBy("method").agg(F.count(F.lit(1)).alias("n"), F.round(evaluate.share(F.col("top1") - 0.05 < F.col("threshold")), 6).alias("success"))
+    return r.groupBy("method", "target").agg(F.count(F.lit(1)).alias("n"), F.round(evaluate.share(F.col("top1") - 0.05 < F.col("threshold")), 6).alias("success"))
 
 
-@query("CAL7 RPT3 RPT10", R + "SELECT method, round(coalesce(quantile_cont(m, 0.99), 0.8), 6) AS tau FROM (SELECT method, source_id, max(top1) AS m FROM rec WHERE NOT cal GROUP BY ALL) GROUP BY method")
+@query("CAL7 RPT10", R + "SELECT method, round(coalesce(quantile_cont(m, 0.99), 0.8), 6) AS tau FROM (SELECT method, source_id, max(top1) AS m FROM rec WHERE NOT cal GROUP BY ALL) GROUP BY method")
 def interval_threshold(spark: SparkSession, d: str) -> DataFrame:
     m = negative_records(spark, d).where(~F.col("cal")).groupBy("method", "source_id").agg(F.max("top1").alias("m"))
-    return m.groupBy("method").agg(F.round(F.coalesce(F.percentile("m", 0.99), F.lit(0.8)), 6).alias("tau"))
+    return calibrate.quantiles(m, ["method"], "m", {"q": 0.99}).select("method", F.round(F.coalesce("q", F.lit(0.8)), 6).alias("tau"))

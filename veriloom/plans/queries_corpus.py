@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veriloom.functions import formats
-from veriloom.operators import design, evaluate, localize, postings, retrieval
+from veriloom.operators import calibrate, design, evaluate, localize, postings, retrieval, transforms
 from veriloom.plans.bindings import md5_word, sql_word, table, usable_vectors
 from veriloom.plans.registry import query
 
@@ -57,10 +57,11 @@ def shards(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("PRJ1 ATK1", """
-WITH a(attack, ord) AS (VALUES ('none', 0), ('jpeg50', 1), ('crop50', 2), ('rot5', 3)), s AS (SELECT DISTINCT item_id FROM set_membership WHERE set_name = 'pos')
+WITH a(attack, ord) AS (VALUES """ + ", ".join(f"('{n}', {i})" for i, n in enumerate(transforms.IMAGE_LADDER)) + """), s AS (SELECT DISTINCT item_id FROM set_membership WHERE set_name = 'pos')
 SELECT item_id || '|' || attack AS query_id, item_id, attack, ord FROM s, a""")
 def query_expansion(spark: SparkSession, d: str) -> DataFrame:
-    a = spark.createDataFrame([("none", 0), ("jpeg50", 1), ("crop50", 2), ("rot5", 3)], "attack string, ord int")
+    """Every source under every entry of the image ladder."""
+    a = spark.createDataFrame([(n, i) for i, n in enumerate(transforms.IMAGE_LADDER)], "attack string, ord int")
     s = table(spark, d, "set_membership").where(F.col("set_name") == "pos").select("item_id").distinct()
     return design.expand(s, a, "item_id").select("query_id", "item_id", "attack", "ord")
 
@@ -170,20 +171,16 @@ def frame_samples(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("LOC10", """
-WITH p AS (SELECT a.l_orderkey AS k, a.l_linenumber AS q, b.l_linenumber AS r, 1 - abs(a.l_quantity - b.l_quantity) / 50.0::DOUBLE AS sim FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey),
+WITH p AS (SELECT a.l_orderkey AS k, a.l_linenumber AS q, b.l_linenumber AS r, 1 - abs(a.l_quantity - b.l_quantity) / 50.0::DOUBLE AS sim FROM lineitem a JOIN lineitem b ON a.l_orderkey + 1 = b.l_orderkey),
 n AS (SELECT k, count(DISTINCT q) AS nq FROM p GROUP BY k), o AS (SELECT k, r - q AS off, round(avg(sim), 9) AS m, count(*) AS c FROM p GROUP BY ALL)
-SELECT o.k, off AS "offset", round(m, 6) AS mean_sim, c AS overlap FROM o JOIN n USING (k) WHERE off <> 0 AND c >= greatest(2, floor(nq / 3)) QUALIFY row_number() OVER (PARTITION BY o.k ORDER BY m DESC, off) = 1""")
+SELECT o.k, off AS "offset", round(m, 6) AS mean_sim, c AS overlap FROM o JOIN n USING (k) WHERE c >= greatest(2, floor(nq / 3)) QUALIFY row_number() OVER (PARTITION BY o.k ORDER BY m DESC, off) = 1""")
 def diagonal_offset(spark: SparkSession, d: str) -> DataFrame:
-    """Best shift of each order's lines against themselves, other than none."""
+    """Best shift of each order's lines against those of the next order, as clips are aligned by their frames."""
     li = table(spark, d, "lineitem")
     a = li.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("q"), F.col("l_quantity").alias("x"))
-    b = li.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("r"), F.col("l_quantity").alias("y"))
+    b = li.select((F.col("l_orderkey") - 1).alias("k"), F.col("l_linenumber").alias("r"), F.col("l_quantity").alias("y"))
     p = a.join(b, "k").select("k", "q", "r", (1 - F.abs(F.col("x") - F.col("y")) / 50.0).alias("sim"))
-    off = p.where(F.col("q") != F.col("r"))
-    size = p.groupBy("k").agg(F.countDistinct("q").alias("nq"))
-    found = off.groupBy("k", (F.col("r") - F.col("q")).alias("offset")).agg(F.round(F.avg("sim"), 9).alias("m"), F.count(F.lit(1)).alias("overlap")).join(size, "k").where(F.col("overlap") >= F.greatest(F.lit(2), F.floor(F.col("nq") / 3)))
-    best = Window.partitionBy("k").orderBy(F.col("m").desc(), "offset")
-    return found.withColumn("rn", F.row_number().over(best)).where(F.col("rn") == 1).select("k", "offset", F.round("m", 6).alias("mean_sim"), "overlap")
+    return localize.diagonal_offset(p, "k", "q", "r", "sim").select("k", "offset", F.round("mean_sim", 6).alias("mean_sim"), "overlap")
 
 
 @query("LOC6", "SELECT l_returnflag, l_orderkey, l_linenumber FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_returnflag ORDER BY md5(concat_ws(':', 'pixels', l_orderkey || '-' || l_linenumber)), l_orderkey || '-' || l_linenumber) <= 4000")
@@ -243,7 +240,7 @@ def sequence_ber(spark: SparkSession, d: str) -> DataFrame:
     return postings.sequence_similarity(q.select("query_id", "pos", word.alias("word")), r.select("ref_id", "pos", word.alias("word")), cand).withColumn("score", F.round("score", 9))
 
 
-@query("SIM10 FPR15", "WITH " + SHINGLE_SQL + """,
+@query("SIM10", "WITH " + SHINGLE_SQL + """,
 nq AS (SELECT query_id, count(DISTINCT pos) AS n FROM qs GROUP BY 1), nr AS (SELECT ref_id, count(DISTINCT pos) AS n FROM rs GROUP BY 1),
 m AS (SELECT query_id, ref_id, count(DISTINCT q.pos) AS mq, count(DISTINCT r.pos) AS mr FROM qs q JOIN rs r USING (hash) GROUP BY ALL)
 SELECT query_id, ref_id, round(mq / nq.n + 0.001::DOUBLE * mr / nr.n, 6) AS score FROM m JOIN nq USING (query_id) JOIN nr USING (ref_id)""")
@@ -277,7 +274,7 @@ def simhash_codes(spark: SparkSession, d: str) -> DataFrame:
     return postings.simhash(w, "doc_id", "t")
 
 
-@query("FPR13 FPR14 FPR18 SIM11", r"""
+@query("FPR18 SIM11", r"""
 WITH v0 AS (SELECT DISTINCT set_name, item_id, vec FROM descriptors_vec WHERE method = 'DINOv2-S' AND len(vec) = 64 AND len(list_filter(vec, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(vec, lambda x: x <> 0)) > 0),
 s AS (SELECT item_id, max(source) AS source FROM items GROUP BY 1), x AS (SELECT source, unnest(vec)::DOUBLE AS x, unnest(range(64)) AS i FROM v0 JOIN s USING (item_id) WHERE source IS NOT NULL),
 m AS (SELECT source, i, avg(x) AS m FROM x GROUP BY ALL), n AS (SELECT source, greatest(sqrt(sum(m * m)), 1e-12) AS n FROM m GROUP BY 1)
@@ -333,7 +330,7 @@ def verify_lock(spark: SparkSession, d: str) -> DataFrame:
     return manifest.verify(i.distinct(), lock, "item_id", "sha256").groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SET1 SET2 SET3 SET4 SRC13 ATK14", """
+@query("SET1 SET2 SET3 SET4 SRC13", """
 WITH m AS (SELECT DISTINCT set_name, item_id FROM set_membership)
 SELECT 'reg and pos' AS what, count(*) AS n FROM (SELECT item_id FROM m WHERE set_name = 'reg' INTERSECT SELECT item_id FROM m WHERE set_name = 'pos')
 UNION ALL SELECT 'reg not pos', count(*) FROM (SELECT item_id FROM m WHERE set_name = 'reg' EXCEPT SELECT item_id FROM m WHERE set_name = 'pos')
@@ -361,7 +358,7 @@ def report_values(spark: SparkSession, d: str) -> DataFrame:
     return a.select("source", formats.fixed(F.col("share"), 3).alias("fixed"), formats.percent(F.col("share"), 1).alias("pct"), formats.thousands(F.col("n")).alias("thousands"))
 
 
-@query("RPT2 RPT8 RPT16 RPT17 SNK7", """
+@query("RPT17", """
 WITH s AS (SELECT DISTINCT item_id, set_name, modality FROM set_membership)
 SELECT coalesce(modality, 'missing') AS modality, count(*) FILTER (WHERE set_name = 'reg') AS reg, count(*) FILTER (WHERE set_name = 'dist') AS dist, count(*) FILTER (WHERE set_name = 'neg') AS neg, count(*) FILTER (WHERE set_name = 'hard') AS hard FROM s GROUP BY 1""")
 def set_pivot(spark: SparkSession, d: str) -> DataFrame:
@@ -373,7 +370,8 @@ def set_pivot(spark: SparkSession, d: str) -> DataFrame:
 def latency_median(spark: SparkSession, d: str) -> DataFrame:
     """Median of a measurement without the first one of each order."""
     li = table(spark, d, "lineitem").where(F.col("l_linenumber") > 1)
-    return li.groupBy(F.concat("l_returnflag", "l_linestatus").alias("k")).agg(F.round(F.median("l_extendedprice"), 6).alias("median_ms"), F.count(F.lit(1)).alias("n"))
+    rows = li.select(F.concat("l_returnflag", "l_linestatus").alias("k"), "l_extendedprice")
+    return calibrate.quantiles(rows, ["k"], "l_extendedprice", {"median_ms": 0.5}).select("k", F.round("median_ms", 6).alias("median_ms"), "n")
 
 
 @query("SCA3 SCA4", """
@@ -382,7 +380,7 @@ def bit_and_array_scalars(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.bit_xor("l_partkey").alias("folded"), F.sum(F.bit_count("l_suppkey").cast("bigint")).alias("ones"), F.element_at(F.array_sort(F.collect_list("l_linenumber")), 1).alias("first_line"))
 
 
-@query("ATK8", """
+@query("SCA3", """
 WITH x AS (SELECT o_custkey % 25 AS g, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey % 25 ORDER BY o_orderkey) - 1 AS i FROM orders),
 s AS (SELECT a.g, b.i - a.i AS shift, round(sum(a.o_totalprice / 1e5 * b.o_totalprice / 1e5), 6) AS dot FROM x a JOIN x b ON a.g = b.g AND b.i - a.i BETWEEN 1 AND 16 GROUP BY ALL)
 SELECT g, shift, dot FROM s QUALIFY row_number() OVER (PARTITION BY g ORDER BY dot DESC, shift) = 1""")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veriloom.operators import evaluate, payload
+from veriloom.operators import calibrate, evaluate, payload
 from veriloom.plans.bindings import CONFIGS, DECODES_SQL, RECORDS_SQL, TRIALS_SQL, blind_trials, decodes, md5_word, negative_records, sql_word, table
 from veriloom.plans.registry import query
 
@@ -96,11 +96,11 @@ def frame_majority(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("AGG19 AGG21", D + f"""
-, o AS (SELECT attack, matches >= {K_SQL} AS wm, {sql_word("'fp'", 'attack', 'doc_id')} % 100 < 70 AS fp FROM decodes WHERE config = 'beta')
+, o AS (SELECT attack, matches >= {K_SQL} AS wm, {sql_word("'fp'", 'attack', 'doc_id')} % 100 < 70 AS fp FROM decodes)
 SELECT coalesce(attack, '_all') AS attack, round(avg(wm::INTEGER), 6) AS wm, round(avg(fp::INTEGER), 6) AS fp, round(avg((wm OR fp)::INTEGER), 6) AS either, round(avg((wm AND fp)::INTEGER), 6) AS both,
   round(avg((wm AND NOT fp)::INTEGER), 6) AS wm_only, round(avg((fp AND NOT wm)::INTEGER), 6) AS fp_only, count(*) AS n FROM o GROUP BY GROUPING SETS ((attack), ())""")
 def complementarity(spark: SparkSession, d: str) -> DataFrame:
-    o = decodes(spark, d).where(F.col("config") == "beta").select("attack", (F.col("matches") >= _k()).alias("wm"), (F.pmod(md5_word(F.lit("fp"), F.col("attack"), F.col("doc_id").cast("string")), F.lit(100)) < 70).alias("fp"))
+    o = decodes(spark, d).select("attack", (F.col("matches") >= _k()).alias("wm"), (F.pmod(md5_word(F.lit("fp"), F.col("attack"), F.col("doc_id").cast("string")), F.lit(100)) < 70).alias("fp"))
     rate = lambda c, n: F.round(evaluate.share(c), 6).alias(n)
     wm, fp = F.col("wm"), F.col("fp")
     out = evaluate.by_stratum(o, ["attack"], rate(wm, "wm"), rate(fp, "fp"), rate(wm | fp, "either"), rate(wm & fp, "both"), rate(wm & ~fp, "wm_only"), rate(fp & ~wm, "fp_only"), F.count(F.lit(1)).alias("n"))
@@ -117,7 +117,9 @@ cfgs AS (SELECT m.method AS config, m.family, m.gpu, m.tier, m.dim, m.metric, qu
 
 def _configs(spark: SparkSession, d: str) -> DataFrame:
     r = negative_records(spark, d)
-    agg = r.groupBy(F.col("method").alias("config")).agg(F.round(F.avg("top1"), 6).alias("quality"), F.round(F.median(F.size("scores")), 6).alias("ms"), F.round(evaluate.share(F.col("top1") >= 0.9), 6).alias("key_fpr"), F.count(F.lit(1)).alias("n_rec"))
+    agg = r.groupBy(F.col("method").alias("config")).agg(F.round(F.avg("top1"), 6).alias("quality"), F.round(evaluate.share(F.col("top1") >= 0.9), 6).alias("key_fpr"), F.count(F.lit(1)).alias("n_rec"))
+    middle = calibrate.quantiles(r.select(F.col("method").alias("config"), F.size("scores").alias("depth")), ["config"], "depth", {"ms": 0.5})
+    agg = agg.join(middle.select("config", F.round("ms", 6).alias("ms")), "config", "left").select("config", "quality", "ms", "key_fpr", "n_rec")
     m = table(spark, d, "methods").select(F.col("method").alias("config"), "family", "gpu", "tier", "dim", "metric", F.coalesce(F.lower("code_licence").rlike("^(mit|bsd|apache)"), F.lit(False)).alias("deployable"))
     return m.join(agg, "config", "left")
 

@@ -40,14 +40,14 @@ PDQ_SQL = "c AS (SELECT DISTINCT set_name, item_id, variant, words FROM descript
 APART = "bit_count(xor(q.words[1], r.words[1]))::INTEGER + bit_count(xor(q.words[2], r.words[2]))::INTEGER + bit_count(xor(q.words[3], r.words[3]))::INTEGER + bit_count(xor(q.words[4], r.words[4]))::INTEGER"
 
 
-@query("JOI1 SIM1 SIM5 SIM6 SIM12 FPR1", f"""
+@query("JOI1 SIM1 SIM5 SIM6 SIM12", f"""
 WITH {PDQ_SQL},
-s AS (SELECT q.item_id AS query_id, r.item_id AS ref_id, max(round(1.0 - ({APART}) / 256.0::DOUBLE, 9)) AS score FROM c q, c r WHERE q.set_name = 'hard' AND r.set_name = 'reg' GROUP BY 1, 2),
+s AS (SELECT q.item_id AS query_id, r.item_id AS ref_id, max(round(1.0 - ({APART}) / 256.0::DOUBLE, 9)) AS score FROM c q, c r WHERE q.set_name IN ('hard', 'neg', 'dist') AND r.set_name = 'reg' GROUP BY 1, 2),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ref_id) AS rank FROM s)
 SELECT query_id, rank::INTEGER AS rank, ref_id, round(score, 6) AS score FROM k WHERE rank <= 5""")
 def variant_max_search(spark: SparkSession, d: str) -> DataFrame:
     c = _codes(spark, d, "PDQ", 4)
-    q = c.where(F.col("set_name") == "hard").select(F.col("item_id").alias("query_id"), F.col("words").alias("query"))
+    q = c.where(F.col("set_name").isin("hard", "neg", "dist")).select(F.col("item_id").alias("query_id"), F.col("words").alias("query"))
     r = c.where(F.col("set_name") == "reg").select(F.col("item_id").alias("ref_id"), F.col("words").alias("ref"))
     return retrieval.top_k(q, r, 5, "hamming", 256).withColumn("score", F.round("score", 6))
 
@@ -96,7 +96,8 @@ def best_attack(spark: SparkSession, d: str) -> DataFrame:
 def median_true_score(spark: SparkSession, d: str) -> DataFrame:
     q = vector_queries(spark, d).where("positive")
     t = retrieval.true_scores(q.select("query_id", "query"), references(spark, d), q.select("query_id", F.col("source_id").alias("ref_id")))
-    return t.join(q.select("query_id", "attack"), "query_id").groupBy("attack").agg(F.round(F.median("score"), 6).alias("median_true"))
+    scored = t.join(q.select("query_id", "attack"), "query_id")
+    return calibrate.quantiles(scored, ["attack"], "score", {"median_true": 0.5}).select("attack", F.round("median_true", 6).alias("median_true"))
 
 
 TARGETS = (0.05, 0.01)
@@ -250,11 +251,11 @@ def reidentification(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("SEC2", W + """,
-pairs AS (SELECT q.query_id, r.ref_id AS target, round(list_dot_product(q.query, r.ref), 9) AS s FROM queries q JOIN refs r ON r.ref_id = q.source_id WHERE positive AND attack IN ('flip', 'chain'))
+pairs AS (SELECT q.query_id, r.ref_id AS target, round(list_dot_product(q.query, r.ref), 9) AS s FROM queries q JOIN refs r ON r.ref_id = q.source_id WHERE positive AND attack <> 'none')
 SELECT query_id, (1 + count(*) FILTER (WHERE score > s))::BIGINT AS target_rank FROM pairs JOIN scored USING (query_id) GROUP BY query_id""")
 def collision_target_rank(spark: SparkSession, d: str) -> DataFrame:
-    q = vector_queries(spark, d).where(F.col("positive") & F.col("attack").isin("flip", "chain"))
+    """Place of the wanted reference among all, for every transformed query."""
+    q = vector_queries(spark, d).where(F.col("positive") & (F.col("attack") != "none"))
     refs = references(spark, d)
     own = retrieval.true_scores(q.select("query_id", "query"), refs, q.select("query_id", F.col("source_id").alias("ref_id"))).select("query_id", F.col("score").alias("s"))
-    every = retrieval._blocks(q.select("query_id", "query"), refs, "ip", VECTOR_DIM, None, None)
-    return every.join(own, "query_id").groupBy("query_id").agg((1 + F.sum((F.col("score") > F.col("s")).cast("bigint"))).alias("target_rank"))
+    return retrieval.count_above(q.select("query_id", "query").join(own, "query_id"), refs, "s", "ip", VECTOR_DIM).select("query_id", (1 + F.col("n")).alias("target_rank"))

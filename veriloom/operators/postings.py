@@ -18,11 +18,6 @@ def shingles(texts: DataFrame, key: str, text: str, words: int = 5) -> DataFrame
     return t.select(key, F.explode(runs).alias("r")).select(key, F.col("r.pos").alias("pos"), F.conv(F.substring(F.md5("r.s"), 1, 15), 16, 10).cast("bigint").alias("hash"))
 
 
-def common_hashes(postings: DataFrame, most: int) -> DataFrame:
-    """Hashes with more than ``most`` postings."""
-    return postings.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("hash")
-
-
 def offset_votes(queries: DataFrame, refs: DataFrame) -> DataFrame:
     """(query_id, ref_id, offset, votes): equal hashes of a query and a reference by the difference of their positions.
 
@@ -50,19 +45,16 @@ def aligned_counts(votes: DataFrame) -> DataFrame:
     return votes.join(top, ["query_id", "ref_id"]).where(F.abs(F.col("offset") - F.col("__o")) <= 1).groupBy("query_id", "ref_id").agg(F.sum("votes").alias("count"))
 
 
-def sequence_similarity(q: DataFrame, r: DataFrame, offsets: DataFrame | None = None, around: int = 2, least: int = 20) -> DataFrame:
+def sequence_similarity(q: DataFrame, r: DataFrame, offsets: DataFrame, around: int = 2, least: int = 20) -> DataFrame:
     """(query_id, ref_id, score): best share of equal bits of two sequences of 32-bit words over their offsets.
 
     An offset needs an overlap of min(``least``, words of the query); 0 where none
-    has it. With ``offsets`` (query_id, ref_id, offset) only those within
-    ``around`` are tried.
+    has it. Offsets within ``around`` of those in ``offsets`` (query_id, ref_id,
+    offset) are tried.
     """
     size = q.groupBy("query_id").agg(F.count(F.lit(1)).alias("__nq"))
-    if offsets is None:
-        j = q.select("query_id", F.col("pos").alias("qp"), F.col("word").alias("qw")).crossJoin(r.select("ref_id", F.col("pos").alias("rp"), F.col("word").alias("rw")))
-    else:
-        tried = offsets.withColumn("__d", F.explode(F.sequence(F.lit(-around), F.lit(around)))).select("query_id", "ref_id", (F.col("offset") + F.col("__d")).alias("__o")).distinct()
-        j = tried.join(q.select("query_id", F.col("pos").alias("qp"), F.col("word").alias("qw")), "query_id").withColumn("rp", F.col("qp") + F.col("__o")).join(r.select("ref_id", F.col("pos").alias("rp"), F.col("word").alias("rw")), ["ref_id", "rp"])
+    tried = offsets.withColumn("__d", F.explode(F.sequence(F.lit(-around), F.lit(around)))).select("query_id", "ref_id", (F.col("offset") + F.col("__d")).alias("__o")).distinct()
+    j = tried.join(q.select("query_id", F.col("pos").alias("qp"), F.col("word").alias("qw")), "query_id").withColumn("rp", F.col("qp") + F.col("__o")).join(r.select("ref_id", F.col("pos").alias("rp"), F.col("word").alias("rw")), ["ref_id", "rp"])
     per = j.groupBy("query_id", "ref_id", (F.col("rp") - F.col("qp")).alias("__off")).agg(F.sum(F.bit_count(F.col("qw").bitwiseXOR(F.col("rw")))).alias("__wrong"), F.count(F.lit(1)).alias("__n"))
     per = per.join(size, "query_id").withColumn("__s", F.when(F.col("__n") >= F.least(F.lit(least), F.col("__nq")), 1.0 - F.col("__wrong") / (32.0 * F.col("__n"))).otherwise(0.0))
     return per.groupBy("query_id", "ref_id").agg(F.greatest(F.lit(0.0), F.max("__s")).alias("score"))
@@ -78,14 +70,17 @@ def segment_alignment(pairs: DataFrame, votes: DataFrame) -> DataFrame:
     return j.groupBy("query_id", "ref_id", "__o").agg(F.avg("sim").alias("__m")).groupBy("query_id", "ref_id").agg(F.max("__m").alias("score"))
 
 
-def frame_share(q: DataFrame, r: DataFrame, matches: DataFrame, small: float = 1e-3) -> DataFrame:
+def frame_share(q: DataFrame, r: DataFrame, small: float = 1e-3) -> DataFrame:
     """(query_id, ref_id, score): share of the query's frames with a match plus ``small`` times that of the reference's.
 
-    ``matches`` has query_id, qp, ref_id and rp.
+    ``q`` (query_id, pos, hash) and ``r`` (ref_id, pos, hash) have one hash for
+    each frame, frames matching where hashes are equal. Frames of one id and hash
+    are one counted row before they meet, so a common frame costs one row for each
+    id that has it.
     """
-    nq = q.groupBy("query_id").agg(F.countDistinct("qp").alias("__nq"))
-    nr = r.groupBy("ref_id").agg(F.countDistinct("rp").alias("__nr"))
-    m = matches.groupBy("query_id", "ref_id").agg(F.countDistinct("qp").alias("__mq"), F.countDistinct("rp").alias("__mr"))
+    q, r = q.groupBy("query_id", "hash").agg(F.countDistinct("pos").alias("__q")), r.groupBy("ref_id", "hash").agg(F.countDistinct("pos").alias("__r"))
+    nq, nr = q.groupBy("query_id").agg(F.sum("__q").alias("__nq")), r.groupBy("ref_id").agg(F.sum("__r").alias("__nr"))
+    m = q.join(r, "hash").groupBy("query_id", "ref_id").agg(F.sum("__q").alias("__mq"), F.sum("__r").alias("__mr"))
     return m.join(nq, "query_id").join(nr, "ref_id").select("query_id", "ref_id", (F.col("__mq") / F.col("__nq") + small * F.col("__mr") / F.col("__nr")).alias("score"))
 
 

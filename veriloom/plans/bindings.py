@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veriloom.operators import retrieval
+from veriloom.plans.session import spread
 
 #: The transformations of descriptors and their families.
 ATTACKS = (("none", "none"), ("trunc", "crop"), ("quant", "compression"), ("noise", "photometric"), ("flip", "geometric"), ("chain", "chain"))
@@ -28,7 +29,7 @@ def usable_vectors(spark: SparkSession, d: str, method: str, dim: int, nonzero:
     t = table(spark, d, "descriptors_vec").where((F.col("method") == method) & (F.size(v) == dim) & F.forall(v, lambda x: x.isNotNull() & (F.abs(x) < F.lit(float("inf")))))
     if nonzero:
         t = t.where(F.exists(v, lambda x: x != 0))
-    return t.select("set_name", "item_id", "vec").distinct().select("set_name", "item_id", F.col("vec").cast("array<double>").alias("v"))
+    return spread(t.select("set_name", "item_id", "vec")).distinct().select("set_name", "item_id", F.col("vec").cast("array<double>").alias("v"))
 
 
 def transformed(v: np.ndarray, attack: np.ndarray) -> np.ndarray:
@@ -105,7 +106,7 @@ RANDOM_KEYS = 50
 
 def decodes(spark: SparkSession, d: str) -> DataFrame:
     """(config, nbits, family, doc_id, source, attack, key, decoded, matches, bit_acc): every document's payload through every channel."""
-    docs = table(spark, d, "documents").select("doc_id", F.coalesce("source", F.lit("missing")).alias("source"))
+    docs = spread(table(spark, d, "documents").select("doc_id", F.coalesce("source", F.lit("missing")).alias("source")))
     configs = F.explode(F.array(*[F.struct(F.lit(n).alias("config"), F.lit(b).alias("nbits"), F.lit(f).alias("family")) for n, b, f in CONFIGS]))
     attacks = F.explode(F.array(*[F.struct(F.lit(n).alias("attack"), F.lit(h).alias("hashes")) for n, h in CHANNEL]))
     r = docs.withColumn("c", configs).select("doc_id", "source", "c.*").withColumn("a", attacks).select("*", "a.*").drop("a")

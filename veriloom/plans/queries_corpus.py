@@ -9,6 +9,7 @@ from veriloom.functions import formats
 from veriloom.operators import calibrate, design, evaluate, localize, postings, retrieval, transforms
 from veriloom.plans.bindings import md5_word, sql_word, table, usable_vectors
 from veriloom.plans.registry import query
+from veriloom.plans.session import spread, stage
 
 
 @query("FLT3 SET2", """
@@ -202,7 +203,7 @@ votes AS (SELECT query_id, ref_id, r.pos - q.pos AS off, count(*) AS votes FROM
 
 def _postings(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     q = postings.shingles(table(spark, d, "eval_items"), "item_id", "text").withColumnRenamed("item_id", "query_id")
-    return q, postings.shingles(table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("doc_id", "ref_id")
+    return q, postings.shingles(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text").withColumnRenamed("doc_id", "ref_id")
 
 
 def _votes(spark: SparkSession, d: str) -> DataFrame:
@@ -234,7 +235,7 @@ nq AS (SELECT query_id, count(*) AS nq FROM qs GROUP BY 1),
 m AS (SELECT t.query_id, t.ref_id, o, sum(bit_count(xor(q.hash & 4294967295, r.hash & 4294967295)))::BIGINT AS wrong, count(*) AS n FROM tried t JOIN qs q ON q.query_id = t.query_id JOIN rs r ON r.ref_id = t.ref_id AND r.pos = q.pos + o GROUP BY ALL)
 SELECT query_id, ref_id, round(greatest(0.0, max(CASE WHEN n >= least(20, nq) THEN 1.0 - wrong / (32.0::DOUBLE * n) ELSE 0.0 END)), 9) AS score FROM m JOIN nq USING (query_id) GROUP BY ALL""")
 def sequence_ber(spark: SparkSession, d: str) -> DataFrame:
-    q, r = _postings(spark, d)
+    q, r = (stage(p, "postings") for p in _postings(spark, d))  # read for the votes and for the words
     word = F.col("hash").bitwiseAND(F.lit(4294967295))
     cand = postings.best_candidates(postings.offset_votes(q, r))
     return postings.sequence_similarity(q.select("query_id", "pos", word.alias("word")), r.select("ref_id", "pos", word.alias("word")), cand).withColumn("score", F.round("score", 9))
@@ -246,15 +247,14 @@ m AS (SELECT query_id, ref_id, count(DISTINCT q.pos) AS mq, count(DISTINCT r.pos
 SELECT query_id, ref_id, round(mq / nq.n + 0.001::DOUBLE * mr / nr.n, 6) AS score FROM m JOIN nq USING (query_id) JOIN nr USING (ref_id)""")
 def frame_share(spark: SparkSession, d: str) -> DataFrame:
     q, r = _postings(spark, d)
-    q, r = q.select("query_id", F.col("pos").alias("qp"), "hash"), r.select("ref_id", F.col("pos").alias("rp"), "hash")
-    return postings.frame_share(q, r, q.join(r, "hash")).withColumn("score", F.round("score", 6))
+    return postings.frame_share(q, r).withColumn("score", F.round("score", 6))
 
 
 @query("JOI5 SIM9", "WITH " + CANDIDATES_SQL + """,
 pairs AS (SELECT query_id, ref_id, r.pos - q.pos AS o, 1 - bit_count(xor(q.hash & 4294967295, r.hash & 4294967295))::DOUBLE / 32 AS sim FROM cand JOIN qs q USING (query_id) JOIN rs r USING (ref_id) WHERE rank <= 20 AND abs(r.pos - q.pos - off) <= 1)
 SELECT query_id, ref_id, round(max(m), 9) AS score FROM (SELECT query_id, ref_id, o, avg(sim) AS m FROM pairs GROUP BY ALL) GROUP BY ALL""")
 def segment_vote(spark: SparkSession, d: str) -> DataFrame:
-    q, r = _postings(spark, d)
+    q, r = (stage(p, "postings") for p in _postings(spark, d))
     cand = postings.best_candidates(postings.offset_votes(q, r))
     word = lambda c: F.col(c).bitwiseAND(F.lit(4294967295))
     # Segments are paired on the positions that an offset near the voted one gives.
@@ -270,7 +270,7 @@ h AS (SELECT doc_id, ('0x' || substr(md5(t), 1, 15))::BIGINT AS h FROM w), b AS
 s AS (SELECT doc_id, b, sum(CASE WHEN (h >> b) & 1 = 1 THEN 1 ELSE -1 END) AS s FROM h, b GROUP BY ALL)
 SELECT doc_id, sum(CASE WHEN s > 0 THEN 1::BIGINT << b ELSE 0 END)::BIGINT AS code FROM s GROUP BY doc_id""")
 def simhash_codes(spark: SparkSession, d: str) -> DataFrame:
-    w = table(spark, d, "documents").where(F.col("text").isNotNull()).select("doc_id", F.explode(F.filter(F.split(F.lower("text"), r"\s+"), lambda x: x != "")).alias("t"))
+    w = spread(table(spark, d, "documents").where(F.col("text").isNotNull()).select("doc_id", "text")).select("doc_id", F.explode(F.filter(F.split(F.lower("text"), r"\s+"), lambda x: x != "")).alias("t"))
     return postings.simhash(w, "doc_id", "t")
 
 

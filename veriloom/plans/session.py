@@ -76,6 +76,15 @@ def stage(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as there are cores, if its input has at most half as many.
+
+    For costly work on each row. A table of many files comes back as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+
+
 def drop(df: DataFrame) -> None:
     """Delete the table that ``stage`` made for ``df``; other staged tables stay."""
     spark = df.sparkSession

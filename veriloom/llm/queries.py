@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from veriloom.llm import components, cutoffs, langid, leakage, overlap, packing, similar
 from veriloom.llm.tables import table
+from veriloom.plans.session import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -69,9 +70,9 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_packed(spark: SparkSession, d: str) -> DataFrame:
     """Every document, or its pieces, with its container."""
-    docs = table(spark, d, "documents")
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
     capacity = int(table(spark, d, "pack_sizes").select("capacity_tokens").first()[0])
-    return packing.pack(docs.select("doc_id", packing.token_count(F.col("text")).alias("n_tokens")), capacity, rows=docs.count())
+    return packing.pack(docs.select("doc_id", packing.token_count(F.col("text")).alias("n_tokens")), capacity, rows=table(spark, d, "documents").count())
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -91,7 +92,7 @@ def p6_balance(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return leakage.leaks(spread(table(spark, d, "documents").select("doc_id", "text")), table(spark, d, "eval_items"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -105,16 +106,16 @@ def p7_items(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_cleaned(spark: SparkSession, d: str) -> DataFrame:
     """Every document without the spans that stand in evaluation items."""
-    return leakage.without_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return leakage.without_leaks(spread(table(spark, d, "documents").select("doc_id", "text")), table(spark, d, "eval_items"))
 
 
 def p8_languages(spark: SparkSession, d: str) -> DataFrame:
     """Every stretch of every document."""
-    return langid.languages(table(spark, d, "documents")).drop("label")
+    return langid.languages(spread(table(spark, d, "documents").select("doc_id", "text", "lang"))).drop("label")
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    found = langid.languages(table(spark, d, "documents"))
+    found = langid.languages(spread(table(spark, d, "documents").select("doc_id", "text", "lang")))
     return langid.relabelled(found, langid.Settings().reject).select("doc_id", "seg_no", "text_lang")
 
 

@@ -1,8 +1,8 @@
 """Filling containers of fixed capacity with texts.
 
 Texts longer than a container are cut into full containers and a remainder;
-everything else stays whole. Full pieces have a container of their own at once.
-Remainders and short texts, at most one a text, are packed by first-fit
+everything else stays whole. Full pieces have a container of their own without
+the tree. Remainders and short texts, at most one a text, are packed by first-fit
 decreasing with a tournament tree over the free space of the bins, independently
 in randomised groups, so the work of a task is bounded by the group size whatever
 the number and the length of the texts.
@@ -73,22 +73,23 @@ def pack(sized: DataFrame, capacity: int, key: str = "doc_id", size: str = "n_to
         raise ValueError("capacity must be at least 1")
     n = sized.count() if rows is None else rows
     groups = max(1, math.ceil(n / group_rows))
-    total = F.col("total")
     items = sized.where(F.col(size) > 0).select(F.col(key).alias("key"), F.col(size).cast("bigint").alias("total"))
-    n_full = F.floor(total / capacity).cast("int")
-    full = items.where(total >= capacity).withColumn("row", F.monotonically_increasing_id()).select("key", "row", F.explode(F.sequence(F.lit(0), n_full - 1)).alias("piece_no"))
-    full = full.select("key", "piece_no", (F.col("piece_no").cast("bigint") * capacity).alias("start_token"), F.lit(capacity).cast("bigint").alias("n_tokens"), F.concat_ws("-", F.lit("f"), "row", "piece_no").alias("container"))
-    rest = items.where(total % capacity > 0).select("key", n_full.alias("piece_no"), (n_full.cast("bigint") * capacity).alias("start_token"), (total % capacity).alias("n_tokens"))
-    rest = rest.withColumn("grp", F.pmod(F.xxhash64("key", "piece_no", F.lit(1)), F.lit(groups)).cast("int"))
+    items = items.withColumn("grp", F.pmod(F.xxhash64("key", F.lit(1)), F.lit(groups)).cast("int"))
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["key", "piece_no"], kind="stable")
-        bins = first_fit_decreasing(pdf["n_tokens"].to_numpy(), capacity)
-        name = [f"g-{g}-{b}" for g, b in zip(pdf["grp"].tolist(), bins.tolist(), strict=True)]
-        return pdf.assign(container=name)[["key", "piece_no", "start_token", "n_tokens", "container"]]
+        pdf = pdf.sort_values(["key", "total"], kind="stable").reset_index(drop=True)
+        g, total = int(pdf["grp"].iloc[0]), pdf["total"].to_numpy()
+        n_full, left = total // capacity, total % capacity
+        rest = np.flatnonzero(left)
+        bins = first_fit_decreasing(left[rest], capacity)
+        # Full pieces, one after the other, and then what is left.
+        at = np.repeat(np.arange(len(total)), n_full)
+        place = np.arange(len(at)) - np.repeat(np.cumsum(n_full) - n_full, n_full)
+        row, piece = np.concatenate([at, rest]), np.concatenate([place, n_full[rest]]).astype(np.int64)
+        tokens = np.concatenate([np.full(len(at), capacity), left[rest]]).astype(np.int64)
+        name = [f"f-{g}-{r}-{p}" for r, p in zip(at.tolist(), place.tolist(), strict=True)] + [f"g-{g}-{b}" for b in bins.tolist()]
+        return pd.DataFrame({"key": pdf["key"].to_numpy()[row], "piece_no": piece.astype(np.int32), "start_token": piece * capacity, "n_tokens": tokens, "container": name})
 
     kind = dict(sized.dtypes)[key]
-    packed = rest.groupBy("grp").applyInPandas(fill, f"key {kind}, piece_no int, start_token bigint, n_tokens bigint, container string")
-    return packed.unionByName(full).withColumnRenamed("key", key)
-
-
+    packed = items.groupBy("grp").applyInPandas(fill, f"key {kind}, piece_no int, start_token bigint, n_tokens bigint, container string")
+    return packed.withColumnRenamed("key", key)

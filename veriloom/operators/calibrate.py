@@ -47,7 +47,7 @@ def quantiles(rows: DataFrame, groups: list[str], score: str, shares: dict[str,
         at = F.lit(float(share)) * (F.col("__n") - 1)
         aggs += [holds(F.floor(at)).alias(f"__lo_{name}"), holds(F.ceil(at)).alias(f"__hi_{name}"), F.max(at - F.floor(at)).alias(f"__by_{name}")]
     out = both.groupBy(*groups).agg(*aggs)
-    return out.select(*groups, "n", *[(F.col(f"__lo_{c}") + (F.col(f"__hi_{c}") - F.col(f"__lo_{c}")) * F.col(f"__by_{c}")).alias(c) for c in shares])
+    return out.select(*groups, "n", *[F.when(F.col(f"__lo_{c}") == F.col(f"__hi_{c}"), F.col(f"__lo_{c}")).otherwise(F.col(f"__lo_{c}") * (1 - F.col(f"__by_{c}")) + F.col(f"__hi_{c}") * F.col(f"__by_{c}")).alias(c) for c in shares])
 
 
 def query_thresholds(top1: DataFrame, targets: list[float], group: str = "method", score: str = "score") -> DataFrame:

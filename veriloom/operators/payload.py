@@ -39,9 +39,14 @@ def tail_probability(rows: DataFrame, n: str, k: str, name: str = "tail") -> Dat
     return rows.withColumn(name, tail(F.col(n).cast("double"), F.col(k).cast("double")))
 
 
-def attack_block(attacks: DataFrame, k: Column) -> DataFrame:
-    """(config, attack, n, bit_acc_mean, bit_acc_min, key_detect_rate, native_rate, exact_rate); means skip nulls and are null if all are."""
-    return attacks.groupBy("config", "attack").agg(
+def attack_block(attacks: DataFrame, k: Column, order: str) -> DataFrame:
+    """(config, attack, n, bit_acc_mean, bit_acc_min, key_detect_rate, native_rate, exact_rate); means skip nulls and are null if all are.
+
+    Each group is summed in ``order``, one row after the other: a sum of doubles
+    depends on their order, and a mean halfway between two roundings shows it.
+    """
+    groups = ["config", "attack"]
+    return attacks.repartition(*groups).sortWithinPartitions(*groups, order).groupBy(*groups).agg(
         F.count(F.lit(1)).alias("n"), F.avg("bit_acc").alias("bit_acc_mean"), F.min("bit_acc").alias("bit_acc_min"), F.avg((F.col("matches") >= k).cast("int")).alias("key_detect_rate"),
         F.avg(F.col("native_detect").cast("int")).alias("native_rate"), F.avg(F.coalesce(F.col("payload_exact"), F.col("matches") == F.col("nbits")).cast("int")).alias("exact_rate"),
     )

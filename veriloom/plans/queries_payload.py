@@ -28,7 +28,7 @@ def _k() -> Column:
 SELECT config, attack, count(*) AS n, round(avg(bit_acc), 6) AS bit_acc_mean, round(min(bit_acc), 6) AS bit_acc_min, round(avg((matches >= {K_SQL})::INTEGER), 6) AS key_detect_rate, round(avg((matches = nbits)::INTEGER), 6) AS exact_rate FROM decodes GROUP BY ALL""")
 def bit_accuracy_by_attack(spark: SparkSession, d: str) -> DataFrame:
     r = decodes(spark, d).withColumn("native_detect", F.lit(None).cast("boolean")).withColumn("payload_exact", F.lit(None).cast("boolean"))
-    b = payload.attack_block(r, _k())
+    b = payload.attack_block(r, _k(), "doc_id")
     return b.select("config", "attack", "n", *[F.round(c, 6).alias(c) for c in ("bit_acc_mean", "bit_acc_min", "key_detect_rate", "exact_rate")])
 
 

@@ -12,6 +12,7 @@ from veriloom.plans.queries_calibration import PAIR_SQL, PAIR_TARGETS, THR_SQL,
 from veriloom.plans.queries_payload import D, K_SQL, _k
 from veriloom.plans.queries_retrieval import APART, PDQ_SQL, _codes
 from veriloom.plans.registry import query
+from veriloom.plans.session import stage
 
 R = "WITH " + RECORDS_SQL
 #: Results that the search driver keeps of every query.
@@ -29,7 +30,7 @@ found AS (SELECT set_name, query_id, ref_id, score, row_number() OVER (PARTITION
 
 def _driver(spark: SparkSession, d: str, k: int = DEPTH) -> DataFrame:
     """(set_name, query_id, rank, ref_id, score): negative and hard queries against the registered items and the unflagged distractors."""
-    c = _codes(spark, d, "PDQ", 4)
+    c = stage(_codes(spark, d, "PDQ", 4).where(F.col("set_name").isin("reg", "dist", "neg", "hard")), "codes")
     refs = retrieval.without(c.where(F.col("set_name").isin("reg", "dist")), flagged(spark, d, "dist"), "item_id").select(F.col("item_id").alias("ref_id"), F.col("words").alias("ref"))
     asked = c.where(F.col("set_name").isin("neg", "hard")).select(F.concat_ws("|", "set_name", "item_id").alias("query_id"), F.col("words").alias("query"))
     found = retrieval.top_k(asked, refs, k, "hamming", 256)
@@ -57,6 +58,7 @@ def verified_top1(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "descriptors_bits").where((F.col("method") == "pHash-64") & (F.size("words") == 1) & F.col("words")[0].isNotNull()).select("item_id", F.col("words")[0].alias("w")).distinct()
     top = _driver(spark, d, 1)
     v = reports.second_stage(top, p.select(F.col("item_id").alias("query_id"), F.col("w").alias("qw")), p.select(F.col("item_id").alias("ref_id"), F.col("w").alias("rw")), 64 - F.bit_count(F.col("qw").bitwiseXOR(F.col("rw"))))
+    v = stage(v, "verified")  # read five times below; the search runs once
     neg = v.where(F.col("set_name") == "neg")
     half = calibrate.keep_alternate(neg, "query_id").where("calibration").select("query_id")
     k = calibrate.verification_ks(neg.join(half, "query_id", "left_semi").withColumn("method", F.lit("all")), 0).select("k_zero")  # one row

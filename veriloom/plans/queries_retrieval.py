@@ -189,11 +189,16 @@ pairs AS (
 
 def _evidence(spark: SparkSession, d: str) -> DataFrame:
     """(set_name, item_id, method, anchor_id): items of dist and hard near an item of reg or neg, by each of three methods."""
-    c = _codes(spark, d, "PDQ", 4)
-    found = retrieval.within(c.where(F.col("set_name").isin("dist", "hard")).select(F.col("item_id").alias("query_id"), F.col("words").alias("query")), c.where(F.col("set_name").isin("reg", "neg")).select(F.col("item_id").alias("ref_id"), F.col("words").alias("ref")), 1 - 16 / 256, "hamming", 256).withColumn("method", F.lit("PDQ"))
+    near, anchors = F.col("set_name").isin("dist", "hard"), F.col("set_name").isin("reg", "neg")
+    methods = [("PDQ", "hamming", 256, 1 - 16 / 256, _codes(spark, d, "PDQ", 4).withColumnRenamed("words", "v"))]
     for method, dim, least in (("SSCD-mixup", 96, 0.80), ("DINOv2-S", 64, 0.95)):
-        v = usable_vectors(spark, d, method, dim).withColumn("v", retrieval.normalised(F.col("v")))
-        found = found.unionByName(retrieval.within(v.where(F.col("set_name").isin("dist", "hard")).select(F.col("item_id").alias("query_id"), F.col("v").alias("query")), v.where(F.col("set_name").isin("reg", "neg")).select(F.col("item_id").alias("ref_id"), F.col("v").alias("ref")), least, "ip", dim).withColumn("method", F.lit(method)))
+        # Stored as single precision, of which the doubles are exact copies.
+        methods.append((method, "cosine", dim, least, usable_vectors(spark, d, method, dim).withColumn("v", F.col("v").cast("array<float>"))))
+    found = None
+    for method, metric, dim, least, rows in methods:
+        v = stage(rows.where(near | anchors).select("set_name", "item_id", "v"), "descriptors")
+        pairs = retrieval.within(v.where(near).select(F.col("item_id").alias("query_id"), F.col("v").alias("query")), v.where(anchors).select(F.col("item_id").alias("ref_id"), F.col("v").alias("ref")), least, metric, dim).withColumn("method", F.lit(method))
+        found = pairs if found is None else found.unionByName(pairs)
     sets = table(spark, d, "set_membership").where(F.col("set_name").isin("dist", "hard")).select("set_name", F.col("item_id").alias("query_id")).distinct()
     return found.join(sets, "query_id").select("set_name", F.col("query_id").alias("item_id"), "method", F.col("ref_id").alias("anchor_id"))
 
